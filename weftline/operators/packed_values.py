@@ -100,22 +100,18 @@ def unpack(fields: DataFrame, field: str, keep: list[str], source: str | None =
     """``keep``, position and value of each item. Clashing names in ``fields`` don't matter, as only ``keep`` is carried."""
     found = infer_delimiters(fields, field, source, min_score).where("chosen")
     delimiters = found.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("delimiter")), "").alias("delimiters"))
+    inside = F.regexp_replace("delimiters", "([^\\s\\p{L}\\p{N}])", "\\\\$1")
+    end = F.concat(F.lit("(?=\\s*(?:["), inside, F.lit("]|\\z))"))
+    pattern = F.concat(F.lit('"(?:[^"]|"")*"'), end, F.lit("|'(?:[^']|'')*'"), end, F.lit("|[^"), inside, F.lit("]+"))
+    patterns = delimiters.select(F.col("source").alias("__source"), pattern.alias("__pattern"))
     key = F.coalesce(F.col(source).cast("string"), F.lit("")) if source else F.lit("")
     rows = fields.select(*keep, key.alias("__source"), _bare(F.col(field)).alias("__bare")).where(F.col("__bare").isNotNull() & _meant(F.col("__bare")))
-    rows = rows.join(F.broadcast(delimiters), F.col("__source") == F.col("source"), "left")
-    inside = F.regexp_replace(F.coalesce("delimiters", F.lit("")), "([^\\s\\p{L}\\p{N}])", "\\\\$1")
-    end = F.when(inside == "", F.lit("\\z")).otherwise(F.concat(F.lit("(?=\\s*(?:["), inside, F.lit("]|\\z))")))
-    free = F.when(inside == "", F.lit("(?s:.+)")).otherwise(F.concat(F.lit("[^"), inside, F.lit("]+")))
-    pattern = F.concat(F.lit('"(?:[^"]|"")*"'), end, F.lit("|'(?:[^']|'')*'"), end, F.lit("|"), free)
-    pieces = F.transform(F.regexp_extract_all("__bare", pattern, F.lit(0)), _item)
-    kept = F.filter(pieces, lambda p: p != "")
+    rows = rows.join(F.broadcast(patterns), "__source", "left")
+    pieces = F.regexp_extract_all("__bare", F.coalesce("__pattern", F.lit("(?s).+")), F.lit(0))
+    kept = F.filter(F.transform(pieces, _item), lambda p: p != "")
     return rows.select(*keep, F.posexplode(kept).alias("__at", item)).select(*keep, (F.col("__at") + 1).cast("int").alias(pos), item)
 
 
 def _item(piece: Column) -> Column:
-    t = _strip(piece)
-    double = t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
-    single = t.startswith("'") & t.endswith("'") & (F.length(t) >= 2)
-    inner = F.substring(t, F.lit(2), F.length(t) - 2)
-    bare = F.when(double, F.replace(inner, F.lit('""'), F.lit('"'))).when(single, F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(t)
-    return _strip(bare)
+    bare = F.regexp_replace(_strip(piece), "(?s)^\"(.*)\"$|^'(.*)'$", "$1$2")
+    return _strip(F.replace(bare, F.lit('""'), F.lit('"')))
