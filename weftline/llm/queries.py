@@ -1,4 +1,66 @@
-"""The queries of the llm problems."""
+"""The queries of the llm problems, with SQL where it can express them."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm.lookalike import alike_pairs, consistent
+from weftline.llm.splits import assign, linked
+from weftline.llm.tokenizer import decode, encode
+from weftline.operators.components import pairs_within
+from weftline.operators.packed_values import unpack
+from weftline.session import cut
+from weftline.sources.tables import table
+
+TEXTS = ["business_name", "business_address"]
+
+
+def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    return table(spark, folder, "source2").select(*columns).unionByName(table(spark, folder, "source3").select(*columns))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return alike_pairs(_records(spark, folder, "entity_id", *TEXTS), "entity_id", TEXTS, "entity_a", "entity_b")
+
+
+def p2_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return consistent(_records(spark, folder, "entity_id", *TEXTS), TEXTS).select("entity_id", *[c + "_form" for c in TEXTS])
+
+
+def _linked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, folder, "train_matches").select("source1_entity_id", "matched_entity_ids")
+    pairs = unpack(rows, "matched_entity_ids", ["source1_entity_id"], item="entity_id").select("source1_entity_id", "entity_id").distinct()
+    return rows, linked(rows, "source1_entity_id", pairs, "source1_entity_id", "entity_id")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs_within(_linked(spark, folder)[1], "component", "source1_entity_id", "entity_a", "entity_b")
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    rows, groups = _linked(spark, folder)
+    return assign(rows, "source1_entity_id", cut(groups), {"train": 0.8, "validation": 0.1, "test": 0.1})
+
+
+def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Encoded and decoded again: the text, '' where it is null."""
+    return decode(p8_ids(spark, folder), "doc_id")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
+    "p8_ids": p8_ids,
+    "p8_texts": p8_texts,
+}
+
+SQL = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
