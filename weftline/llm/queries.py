@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.leakage import passages
 from weftline.llm.lookalike import alike_pairs, consistent
 from weftline.llm.splits import assign, linked
 from weftline.llm.tokenizer import decode, encode
@@ -52,6 +53,14 @@ def p8_texts(spark: SparkSession, folder: str) -> DataFrame:
     return decode(p8_ids(spark, folder), "doc_id")
 
 
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_passages(spark, folder).select("doc_id", "item_id").distinct()
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -59,6 +68,8 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p8_ids": p8_ids,
     "p8_texts": p8_texts,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
 }
 
 SQL = {
