@@ -9,6 +9,7 @@ from weftline.llm.leakage import passages
 from weftline.llm.lookalike import alike_pairs, consistent
 from weftline.llm.splits import assign, linked
 from weftline.llm.tokenizer import decode, encode
+from weftline.llm.variants import clusters, same_name_pairs
 from weftline.operators.components import pairs_within
 from weftline.operators.packed_values import unpack
 from weftline.session import cut
@@ -21,6 +22,14 @@ def _records(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return table(spark, folder, "source2").select(*columns).unionByName(table(spark, folder, "source3").select(*columns))
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return same_name_pairs(table(spark, folder, "name_entries"), "entry_id", "business_name", "country", "entry_a", "entry_b")
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(table(spark, folder, "name_entries"), "entry_id", "business_name", "country")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return alike_pairs(_records(spark, folder, "entity_id", *TEXTS), "entity_id", TEXTS, "entity_a", "entity_b")
 
@@ -62,6 +71,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_forms": p2_forms,
     "p3_found": p3_found,
