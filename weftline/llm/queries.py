@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm import addresses
 from weftline.llm.leakage import passages
 from weftline.llm.lookalike import alike_pairs, consistent
 from weftline.llm.splits import assign, linked
@@ -53,6 +54,14 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return assign(rows, "source1_entity_id", cut(groups), {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.same_place_pairs(table(spark, folder, "address_entries"), "entry_id", "business_address", "country", "entry_a", "entry_b")
+
+
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return addresses.clusters(table(spark, folder, "address_entries"), "entry_id", "business_address", "country")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -77,6 +86,8 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p3_found": p3_found,
     "p3_splits": p3_splits,
+    "p4_found": p4_found,
+    "p4_clusters": p4_clusters,
     "p8_ids": p8_ids,
     "p8_texts": p8_texts,
     "p9_found": p9_found,

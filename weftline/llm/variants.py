@@ -8,8 +8,7 @@
    most rows, of equal ones that of the least name; so a name without a trade never links two trades. Partial forms that fit no cluster
    are clustered among themselves.
 
-Blocks of more than ``all_pairs`` forms compare each form with the forms next to it in the order of their spelling and with the ``leaders`` forms of most rows
-of each trade and given name in the block; others of their cluster follow by transitivity. Work in a block is thus linear in its forms.
+Large blocks cost linear work (``blocks``).
 
 Null, empty and blank names, and names without any proper name, are in no cluster. Repeated rows of one key with one name count once; rows of
 one key with different names all count. Ties are broken by the order of the forms' keys.
@@ -22,9 +21,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.functions.similarity import edits, jaro_winkler
+from weftline.llm.blocks import block_pairs
 from weftline.llm.names import Name, NameReader, sound
 from weftline.operators.components import components, pairs_within
 from weftline.session import cut
@@ -116,38 +115,18 @@ def forms_of(entries: DataFrame, key: str, name: str, country: str | None = None
     return rows.select("k", form("n", "c").alias("form")).where("form is not null").distinct()
 
 
-def candidate_pairs(forms: DataFrame, all_pairs: int = 48, leaders: int = 4) -> DataFrame:
-    """(x, y, nx, ny) different forms of a block, x < y in spelling."""
+def candidate_pairs(forms: DataFrame) -> DataFrame:
+    """(x, y) different forms of a block, x < y in spelling."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, f, n) for f, n in zip(batch["form"], batch["n"]) for k in block_keys(Name.of(f))]
-            yield pd.DataFrame(rows, columns=["key", "form", "n"])
-
-    rows = cut(forms.mapInPandas(keyed, "key string, form string, n long"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    sized = rows.join(sizes, "key")
-    small = sized.where(F.col("size") <= all_pairs)
-    a = small.select("key", F.col("form").alias("x"), F.col("n").alias("nx"))
-    b = small.select("key", F.col("form").alias("y"), F.col("n").alias("ny"))
-    pairs = a.join(b, "key").where("x < y").select("x", "y", "nx", "ny")
-    # Large blocks are cut further by trade and given name before any window, and by a hash of the spelling's start for the order.
-    parts = F.split("form", "\\|")
-    large = sized.where(F.col("size") > all_pairs).withColumns({"who": F.concat_ws("|", parts[0], parts[4]), "slice": F.substring(parts[2], 1, 4)})
-    lead = _leaders(large, leaders)
-    led = large.join(lead, "key").where("form <> top").select(F.least("form", "top").alias("x"), F.greatest("form", "top").alias("y"), F.when(F.col("form") < F.col("top"), F.col("n")).otherwise(F.col("top_n")).alias("nx"), F.when(F.col("form") < F.col("top"), F.col("top_n")).otherwise(F.col("n")).alias("ny"))
-    order = Window.partitionBy("key", "who", "slice").orderBy("form")
-    beside = large.select(F.col("form").alias("x"), F.lead("form").over(order).alias("y"), F.col("n").alias("nx"), F.lead("n").over(order).alias("ny")).where("y is not null")
-    return pairs.unionByName(led).unionByName(beside).distinct()
-
-
-def _leaders(large: DataFrame, leaders: int) -> DataFrame:
-    """The forms of most rows of each trade and given name of a block, ranked inside hash shards first."""
-    ranked = large.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(64)))
-    order = [F.col("n").desc(), F.col("form")]
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "who", "shard").orderBy(*order))).where(F.col("r") <= leaders)
-    best = first.withColumn("r", F.row_number().over(Window.partitionBy("key", "who").orderBy(*order))).where(F.col("r") <= leaders)
-    return best.select("key", F.col("form").alias("top"), F.col("n").alias("top_n"))
+            rows = []
+            for f, n in zip(batch["form"], batch["n"]):
+                name = Name.of(f)
+                rows += [(k, f, n, ",".join(name.given) + "|" + name.trade, name.proper[0][:4]) for k in block_keys(name)]
+            yield pd.DataFrame(rows, columns=["key", "form", "n", "who", "slice"])
+
+    return block_pairs(cut(forms.mapInPandas(keyed, "key string, form string, n long, who string, slice string")))
 
 
 def clusters(entries: DataFrame, key: str, name: str, country: str | None = None) -> DataFrame:
