@@ -20,10 +20,12 @@ class Weights:
     def __init__(self, m: list[dict[int, float]], u: list[dict[int, float]], share: float):
         self.m, self.u, self.share = m, u, share
 
-    def probability(self, pattern: tuple[int, ...]) -> float:
+    def probability(self, pattern: tuple[int, ...], only: set[int] | None = None) -> float:
+        """With ``only``, by the fields at these places alone."""
         odds = np.log(self.share) - np.log1p(-self.share)
-        for level, m, u in zip(pattern, self.m, self.u):
-            odds += np.log(m.get(level, 1e-4)) - np.log(u.get(level, 1e-4))
+        for at, (level, m, u) in enumerate(zip(pattern, self.m, self.u)):
+            if only is None or at in only:
+                odds += np.log(m.get(level, 1e-4)) - np.log(u.get(level, 1e-4))
         return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
 
 

@@ -49,6 +49,32 @@ _PRIVATE = re.compile(r"\(p\)|\bp\.?\s+(?=l[t7]d|[l1]imited)")
 _SPACED = re.compile(r"(?<![a-z0-9])((?:[a-z] ){2,3}[a-z])(?![a-z0-9])")
 _ALIAS = re.compile(r"^(.+?)\s(?:d/b/a|dba|a/k/a|aka|f/k/a|fka|t/a|formerly(?: known as)?|trading as|doing business as|also known as|nee)[:\s]+(.+)$")
 _WEB = re.compile(r"(?:https?://)?(?:www\.)?([a-z0-9\-]+)\.(?:example|com|net|org|in|fr|co|biz|info)(?:\.[a-z]{2})?\b/?")
+# Devanagari letters and signs in Latin letters.
+_CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p f b bh m y r l v sh sh s h".split()))
+_VOWELS = dict(zip("अआइईउऊऋएऐऑओऔ", "a a i i u u ri e ai o o au".split()))
+_SIGNS = dict(zip("ािीुूृेैॉोौ", "a i i u u ri e ai o o au".split()))
+
+
+def from_devanagari(text: str) -> str:
+    """Latin letters for Devanagari ones; the vowel inside a consonant is written unless a sign, a stop or a word's end follows."""
+    out = []
+    for i, ch in enumerate(text):
+        nxt = text[i + 1 : i + 2]
+        if nxt == "\u093c":
+            nxt = text[i + 2 : i + 3]
+        if ch in _CONSONANTS:
+            out.append("z" if ch == "ज" and text[i + 1 : i + 2] == "\u093c" else _CONSONANTS[ch])
+            if nxt and "\u0900" <= nxt <= "\u097f" and nxt not in _SIGNS and nxt != "\u094d":
+                out.append("a")
+        elif ch in _VOWELS or ch in _SIGNS:
+            out.append(_VOWELS.get(ch) or _SIGNS[ch])
+        elif ch in "\u0902\u0901":
+            out.append("n")
+        elif not "\u0900" <= ch <= "\u097f":
+            out.append(ch)
+    return "".join(out).replace("ks", "x")
+
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -144,7 +170,7 @@ class NameReader:
         """None where nothing is left that could name anyone."""
         if raw is None:
             return None
-        text = folded(raw)
+        text = folded(from_devanagari(raw) if any("\u0900" <= c <= "\u097f" for c in raw) else raw)
         text = _PHONE.sub(" ", text)
         text = re.sub(r"\bm\s*/\s*s\b", " ", text)
         if (m := _ALIAS.match(text)) is not None:

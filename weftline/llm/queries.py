@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.llm import addresses
 from weftline.llm.leakage import passages
 from weftline.llm.lookalike import alike_pairs, consistent
+from weftline.llm.matching import matches
 from weftline.llm.splits import assign, linked
 from weftline.llm.tokenizer import decode, encode
 from weftline.llm.variants import clusters, same_name_pairs
@@ -62,6 +63,17 @@ def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return addresses.clusters(table(spark, folder, "address_entries"), "entry_id", "business_address", "country")
 
 
+def p6_matches(spark: SparkSession, folder: str, split: str = "test") -> DataFrame:
+    columns = ["entity_id", *TEXTS, "country", "data_split"]
+    records = _records(spark, folder, *columns).where(F.col("data_split") == split)
+    entities = table(spark, folder, "source1").select(*columns).where(F.col("data_split") == split)
+    return matches(records, entities).select(F.col("sid").alias("source1_entity_id"), F.col("rid").alias("entity_id"), "confidence")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_matches(spark, folder).where("confidence > 0.5").select("source1_entity_id", "entity_id")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -88,6 +100,8 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_clusters": p4_clusters,
+    "p6_found": p6_found,
+    "p6_matches": p6_matches,
     "p8_ids": p8_ids,
     "p8_texts": p8_texts,
     "p9_found": p9_found,
