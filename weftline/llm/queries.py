@@ -10,6 +10,7 @@ from weftline.llm.leakage import passages
 from weftline.llm.lookalike import alike_pairs, consistent
 from weftline.llm.matching import matches
 from weftline.llm.splits import assign, linked
+from weftline.llm.subjects import subject_areas
 from weftline.llm.tokenizer import decode, encode
 from weftline.llm.variants import clusters, same_name_pairs
 from weftline.operators.components import pairs_within
@@ -91,6 +92,16 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_passages(spark, folder).select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return subject_areas(*(table(spark, folder, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents per source and subject."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return p10_found(spark, folder).join(docs, "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n_docs"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
@@ -106,6 +117,8 @@ QUERIES = {
     "p8_texts": p8_texts,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 SQL = {
