@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def unpivot_keys(rows: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
-    """One row per row and key column, null keys left out."""
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key_column"), F.col(k).cast("string").alias("key_value")) for k in keys]))
+def unpivot_keys(rows: DataFrame, keys: list[str], carry: list[str], columns: list[str] | None = None) -> DataFrame:
+    """One row per row and key column, null keys left out; ``columns`` are the columns that hold the keys, if they go by other names."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key_column"), F.col(c).cast("string").alias("key_value")) for k, c in zip(keys, columns or keys)]))
     return rows.select(each.alias("k"), *carry).select("k.key_column", "k.key_value", *carry).where(F.col("key_value").isNotNull())
 
 
@@ -29,8 +29,9 @@ def per_key(rows: DataFrame, keys: list[str], value: str, score: str) -> DataFra
     Ties need no rule, as only values come out; a key whose scores are all null has a null best. Empty input gives no row. Repeated rows count each time.
     """
     # First by all key columns and the value together: the table is read and reduced once for all key columns.
-    states = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"), F.max(score).alias("top"))
-    long = unpivot_keys(states, keys, ["v", "n", "top"])
+    inner = [f"__k{i}" for i in range(len(keys))]
+    states = rows.groupBy(*[F.col(k).alias(i) for k, i in zip(keys, inner)], F.col(value).alias("v")).agg(F.count("*").alias("n"), F.max(score).alias("top"))
+    long = unpivot_keys(states, keys, ["v", "n", "top"], inner)
     pairs = long.groupBy("key_column", "key_value", "v").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
     return pairs.groupBy("key_column", "key_value").agg(F.sum("n").alias("n_rows"), F.count("v").alias("n_values"), F.max("top").alias("best"))
 
