@@ -272,19 +272,19 @@ def idf_vocab(spark, folder):
 @query(f"{_BASE}, {_search_sql(['nw'], CAPS, 'a')}, {_best_sql(['nw'], 'a', 3, 0)} SELECT * FROM best_a")
 def name_words_topk(spark, folder):
     q, s, v = _search_inputs(spark, folder, ["nw"])
-    return B.keep_best(B.search(q, s, v, {"nw": CAPS["nw"]}), ["nw"], 3, 0)
+    return B.search_best(q, s, v, {"nw": CAPS["nw"]}, 3, 0)
 
 
 @query(f"{_BASE}, {_search_sql(['nc'], CAPS, 'a')}, {_best_sql(['nc'], 'a', 3, 0)} SELECT * FROM best_a")
 def char4_topk(spark, folder):
     q, s, v = _search_inputs(spark, folder, ["nc"])
-    return B.keep_best(B.search(q, s, v, {"nc": CAPS["nc"]}), ["nc"], 3, 0)
+    return B.search_best(q, s, v, {"nc": CAPS["nc"]}, 3, 0)
 
 
 @query(f"{_BASE}, {_search_sql(_CH, CAPS, 'a')}, {_best_sql(_CH, 'a', 20, 3)} SELECT * FROM best_a")
 def multi_channel_topk(spark, folder):
     q, s, v = _search_inputs(spark, folder, _CH)
-    return B.keep_best(B.search(q, s, v, CAPS), _CH)
+    return B.search_best(q, s, v, CAPS)
 
 
 @query(f"""{_BASE}, {_search_sql(_CH, _LOW, 'a')}, {_best_sql(_CH, 'a', 20, 3)},
