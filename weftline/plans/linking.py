@@ -197,8 +197,8 @@ CAST(CASE WHEN regexp_matches(coalesce(raw, ''), '[ऀ-෿]') THEN 1 ELSE 0 END
 
 @query()
 def name_parts(spark, folder):
-    parts = N.name_parts(N.fold_latin(F.col("business_name")), F.col("business_name"))
-    return records(spark, folder).select("entity_id", *[c.alias(n) for n, c in parts.items()]).withColumns({c: F.array_join(c, " ") for c in ("n_toks", "n_core")})
+    r = records(spark, folder).select("entity_id", "business_name")
+    return N.with_name_parts(r, N.fold_latin(F.col("business_name")), F.col("business_name")).drop("business_name").withColumns({c: F.array_join(c, " ") for c in ("n_toks", "n_core")})
 
 
 def _phrases_sql(s: str, table_: list[tuple[str, str]]) -> str:
@@ -223,8 +223,8 @@ SELECT entity_id, array_to_string(toks, ' ') AS a_toks, array_to_string(nums, '
 @query()
 def address_parts(spark, folder):
     folded = N.fold_latin(N.number_marks(F.coalesce("business_address", F.lit(""))))
-    parts = N.address_parts(folded, F.col("country"))
-    return records(spark, folder).select("entity_id", *[c.alias(n) for n, c in parts.items()]).withColumns({c: F.array_join(c, " ") for c in ("a_toks", "a_nums")})
+    r = records(spark, folder).select("entity_id", "business_address", "country")
+    return N.with_address_parts(r, folded, F.col("country")).drop("business_address", "country").withColumns({c: F.array_join(c, " ") for c in ("a_toks", "a_nums")})
 
 
 # ------------------------------------------------------------------ retrieval
