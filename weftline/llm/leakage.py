@@ -9,9 +9,8 @@ Hamming distance; ``samples`` places of the walk form the key of a repeat, and e
 Windows with more than ``window_edits`` words that occur in no item are left out before the walk: no alignment within the edits could hold them.
 Which walks the repeats take depends on ``seed`` alone.
 
-A passage counts if it has at least ``min_words`` words of the item in the item's order, or the whole of a shorter item, and at most one edit
-(word changed, dropped or added) in ``words_per_edit``. A word changed at the very end of a passage can't be told from a shorter passage,
-so ``min_words`` may be missed by the edits allowed in as many words.
+A passage counts if some ``min_words`` neighbouring words of the item (or all of a shorter item) are in the text within one edit (word changed, dropped or added) per ``words_per_edit``
+words. A longer passage of at most that rate of edits always has such a stretch.
 
 Items are broadcast: they are a held-out set of fixed size, checked against ``max_item_words``. Null and empty texts hold nothing. Repeated rows of
 documents give equal rows. Long texts are walked in chunks of windows and aligned only near candidates.
@@ -151,13 +150,13 @@ class Matcher:
         return best
 
     def _align(self, doc: list[int], item: list[int]) -> tuple[int, int, int] | None:
-        """The best local alignment at match 2, edit -5: (item words spanned, edits, first word) if it counts."""
+        """Of a text that counts the best local alignment at match 2, edit -3: (item words spanned, edits, first word)."""
         n = len(item)
         need = min(self.min_words, n)
-        # The shortest span that counts, less the most edits it may have, must be words in common.
-        least = need - need // self.words_per_edit
-        shared = Counter(doc) & Counter(item)
-        if shared.total() < least - (least + self.words_per_edit) // self.words_per_edit:
+        most = need // self.words_per_edit
+        if (Counter(doc) & Counter(item)).total() < need - most:
+            return None
+        if not any(holds(doc, item[a : a + need], most) for a in range(n - need + 1)):
             return None
         # A cell: score, item words spanned, edits, first document word.
         zero = (0, 0, 0, 0)
@@ -171,7 +170,7 @@ class Matcher:
                     cell = (d[0] + 2, d[1] + 1, d[2], d[3] if d[0] else i)
                 else:
                     u = above[j + 1]
-                    cell = max((d[0] - 5, d[1] + 1, d[2] + 1, d[3]), (u[0] - 5, u[1], u[2] + 1, u[3]), (left[0] - 5, left[1] + 1, left[2] + 1, left[3]))
+                    cell = max((d[0] - 3, d[1] + 1, d[2] + 1, d[3]), (u[0] - 3, u[1], u[2] + 1, u[3]), (left[0] - 3, left[1] + 1, left[2] + 1, left[3]))
                     if cell[0] <= 0:
                         cell = zero
                 row.append(cell)
@@ -179,10 +178,31 @@ class Matcher:
                 if cell[0] > best[0]:
                     best = cell
             above = row
-        _, span, edits, start = best
-        if span + need // self.words_per_edit < need or edits * self.words_per_edit > span + self.words_per_edit:
-            return None
-        return span, edits, start
+        return best[1:]
+
+
+def holds(text: list[int], pattern: list[int], most: int) -> bool:
+    """Does any part of the text come within ``most`` edits of the pattern? Bit-parallel (Myers 1999), one step per word of the text."""
+    m = len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    at: dict[int, int] = {}
+    for i, word in enumerate(pattern):
+        at[word] = at.get(word, 0) | 1 << i
+    plus, minus, distance = full, 0, m
+    for word in text:
+        equal = at.get(word, 0)
+        vertical = equal | minus
+        horizontal = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | ~(horizontal | plus) & full, plus & horizontal
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        up, down = up << 1 & full, down << 1 & full
+        plus, minus = down | ~(vertical | up) & full, up & vertical
+        if distance <= most:
+            return True
+    return False
 
 
 def passages(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 8, window_edits: int = 2, repeats: int = 20, samples: int = 4, min_words: int = 12, words_per_edit: int = 6, seed: int = 5, max_item_words: int = 2_000_000) -> DataFrame:

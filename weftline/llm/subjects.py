@@ -183,7 +183,7 @@ class SubjectModel:
         return [self.subjects[c] for c in self.chain.decode(count, none, source)]
 
 
-def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", translation: str = "text_tgt", source: str = "source", subject: str = "subject", max_labelled: int = 20_000, max_areas: int = 500, only_new: bool = True) -> DataFrame:
+def subject_areas(docs: DataFrame, labels: DataFrame, areas: DataFrame, key: str = "doc_id", text: str = "text", translation: str = "text_tgt", source: str = "source", subject: str = "subject", max_labelled: int = 12_000, max_areas: int = 500, only_new: bool = True) -> DataFrame:
     """(key, subject) of the documents; with ``only_new`` of those without a label row."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[key]
