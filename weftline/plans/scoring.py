@@ -13,6 +13,7 @@ from weftline.operators import metrics as M
 from weftline.operators import model as G
 from weftline.operators import pair_features as P
 from weftline.operators import risk as R
+from weftline.operators.sampling import sample_keys, sample_rows
 from weftline.operators.transliteration import learn
 from weftline.plans.linking import _ALL, _FEATS, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _VOCAB, _quoted, pairs, records, sides, simple, truth
 from weftline.session import cut
@@ -376,3 +377,36 @@ def linked_records(spark, folder):
     best = Window.partitionBy("q").orderBy(F.col("p").desc(), F.col("s"))
     scored = gbt_cascade(spark, folder).select("q", "s", "p").withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     return D.match_lists(table(spark, folder, "source1"), D.expected_f_keep(cut(scored)))
+
+
+# ------------------------------------------------------------------ samples and importances
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE ((o_custkey * 2654435761) >> 7) % 1000 < 300")
+def sampled_rows(spark, folder):
+    """A sampling operator: all orders of three in ten customers."""
+    return sample_rows(table(spark, folder, "orders"), "o_custkey", 0.3).select("o_orderkey", "o_custkey")
+
+
+@query()
+def sampled_queries(spark, folder):
+    """A sampling operator: all candidate pairs of 200 queries, as a stage trains on."""
+    return sample_keys(pairs(spark, folder).select("q", "s", "comb"), "q", 200)
+
+
+@query()
+def feature_importances(spark, folder):
+    """The 30 most used features of a first-stage model."""
+    d = cut(pair_table(spark, folder).where("y is not null"))
+    features = G.feature_columns(d, ["y", "rk", "n_q*"])
+    model = G.fit(d, features, "y", _FAST)
+    rows = [(f, float(v)) for f, v in zip(features, model.stages[-1].featureImportances.toArray())]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(30)
+
+
+_INDIC_CASES = "".join(f"replace(" for _ in N.INDIC_STATES) + "coalesce(business_address, '')" + "".join(f", '{a}', '{b}')" for a, b in N.INDIC_STATES)
+
+
+@query(f"WITH {_RECORDS} SELECT entity_id, {_INDIC_CASES} AS address FROM records")
+def indic_state_names(spark, folder):
+    return records(spark, folder).select("entity_id", N.indic_states(F.col("business_address")).alias("address"))
