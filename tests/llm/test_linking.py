@@ -46,12 +46,32 @@ def test_name_clusters(spark):
 
 
 def test_large_blocks_stay_linear(spark):
-    rows = [("hot", f"form{i:04d}", 1 + i % 3, "w", f"f{i % 5}") for i in range(600)] + [("cold", f"form{i:04d}", 1, "w", "f") for i in range(3)]
-    df = spark.createDataFrame(rows, "key string, form string, n long, who string, slice string")
-    got = blocks.block_pairs(df, all_pairs=48, leaders=4).collect()
+    rows = [("hot", f"form{i:04d}", 1 + i % 3, ["same"], ["g", "t"]) for i in range(600)] + [("cold", f"form{i:04d}", 1, ["x"], ["g"]) for i in range(3)]
+    got = blocks.block_pairs(spark.createDataFrame(rows, blocks.SCHEMA), all_pairs=48, leaders=4).collect()
     assert len(got) < 600 * 6 and all(r["x"] < r["y"] for r in got)
-    seen = {r["x"] for r in got} | {r["y"] for r in got}
-    assert len(seen) == 600
+    assert len({r["x"] for r in got} | {r["y"] for r in got}) == 600
+    assert {("form0000", "form0001"), ("form0000", "form0002"), ("form0001", "form0002")} <= {tuple(r) for r in got}
+
+
+def test_large_blocks_keep_pairs_of_finer_keys(spark):
+    rows = [("hot", f"a{i:03d}", 1, [f"k{i // 2}"], ["g"]) for i in range(400)]
+    got = {tuple(r) for r in blocks.block_pairs(spark.createDataFrame(rows, blocks.SCHEMA)).collect()}
+    assert got == {(f"a{i:03d}", f"a{i + 1:03d}") for i in range(0, 400, 2)}
+
+
+def test_one_family_name_shared_by_most(spark):
+    """A hot block of one family name: variants of each entity still meet."""
+    rng = random.Random(6)
+    syllables = ["bra", "kol", "mi", "zen", "tu", "vax", "shi", "pur", "glo", "ned"]
+    seconds = sorted({"".join(rng.choice(syllables) for _ in range(4)) for _ in range(150)})
+    rows, want = [], set()
+    for i, s in enumerate(seconds):
+        typo = s[:4] + s[5] + s[4] + s[6:]
+        rows += [(2 * i, f"Plagostur {s} Bakery"), (2 * i + 1, f"{typo} & Plagostur Bkry LLC")]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows, "entry_id long, business_name string").withColumn("country", F.lit("US"))
+    got = {tuple(r) for r in same_name_pairs(df, "entry_id", "business_name", "country", "a", "b").collect()}
+    assert len(want & got) >= 0.98 * len(want)
 
 
 def test_addresses_taken_apart():

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import edits, jaro_winkler
-from weftline.llm.blocks import block_pairs
+from weftline.llm.blocks import SCHEMA, block_pairs
 from weftline.llm.linkage import MISSING, estimate, pattern_counts
 from weftline.llm.names import sound
 from weftline.llm.places import Place, read_place
@@ -116,10 +116,12 @@ def compared(forms: DataFrame) -> DataFrame:
             rows = []
             for f, n in zip(batch["form"], batch["n"]):
                 place = Place.of(f)
-                rows += [(k, f, n, f"{place.kind}|{place.way}|{place.postcode}", place.street[:4]) for k in keys(place)]
-            yield pd.DataFrame(rows, columns=["key", "form", "n", "who", "slice"])
+                street, town = place.street, place.town
+                finer = [f"s:{sound(street)} {sound(town)}", f"b:{street[:3]} {town[:3]}", f"e:{street[-3:]} {town[-3:]}", f"z:{place.kind} {place.way} {place.postcode}", f"1:{street}"]
+                rows += [(k, f, n, finer, [f"{place.kind}|{place.way}"]) for k in keys(place)]
+            yield pd.DataFrame(rows, columns=["key", "form", "n", "finer", "groups"])
 
-    pairs = block_pairs(cut(forms.mapInPandas(keyed, "key string, form string, n long, who string, slice string")))
+    pairs = block_pairs(cut(forms.mapInPandas(keyed, SCHEMA)))
 
     @F.pandas_udf(", ".join(f"{f} int" for f in FIELDS))
     def levels(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:

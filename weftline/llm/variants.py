@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import edits, jaro_winkler
-from weftline.llm.blocks import block_pairs
+from weftline.llm.blocks import SCHEMA, block_pairs
 from weftline.llm.names import Name, NameReader, sound
 from weftline.operators.components import components, pairs_within
 from weftline.session import cut
@@ -53,6 +53,14 @@ def block_keys(n: Name) -> list[str]:
     return sorted(keys)
 
 
+def finer_keys(n: Name) -> list[str]:
+    """Keys inside a large block: all sounds, all beginnings, all endings; a form with a part written short also by its one name."""
+    p = n.proper
+    cuts = ("s:" + " ".join(sorted(map(sound, p))), "b:" + " ".join(sorted(x[:3] for x in p)), "e:" + " ".join(sorted(x[-3:] for x in p)))
+    single = [f"1:{x}" for x in p]
+    return [*cuts, *single]
+
+
 def _alike(x: str, y: str) -> bool:
     if x == y:
         return True
@@ -123,10 +131,11 @@ def candidate_pairs(forms: DataFrame) -> DataFrame:
             rows = []
             for f, n in zip(batch["form"], batch["n"]):
                 name = Name.of(f)
-                rows += [(k, f, n, ",".join(name.given) + "|" + name.trade, name.proper[0][:4]) for k in block_keys(name)]
-            yield pd.DataFrame(rows, columns=["key", "form", "n", "who", "slice"])
+                who = ",".join(name.given)
+                rows += [(k, f, n, finer_keys(name), [f"g:{who}", f"t:{name.trade}"]) for k in block_keys(name)]
+            yield pd.DataFrame(rows, columns=["key", "form", "n", "finer", "groups"])
 
-    return block_pairs(cut(forms.mapInPandas(keyed, "key string, form string, n long, who string, slice string")))
+    return block_pairs(cut(forms.mapInPandas(keyed, SCHEMA)))
 
 
 def clusters(entries: DataFrame, key: str, name: str, country: str | None = None) -> DataFrame:
