@@ -15,6 +15,7 @@ from weftline.llm.tokenizer import decode, encode
 from weftline.llm.variants import clusters, same_name_pairs
 from weftline.operators.components import pairs_within
 from weftline.operators.packed_values import unpack
+from weftline.plans.training_data import SQL as TRAINING_SQL
 from weftline.session import cut
 from weftline.sources.tables import table
 
@@ -122,5 +123,9 @@ QUERIES = {
 }
 
 SQL = {
+    "p3_found": f"""WITH RECURSIVE listed AS ({TRAINING_SQL['p5_found']}),
+e AS (SELECT DISTINCT a.source1_entity_id AS x, b.source1_entity_id AS y FROM listed a JOIN listed b ON a.entity_id = b.entity_id WHERE a.source1_entity_id <> b.source1_entity_id),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT DISTINCT x AS entity_a, y AS entity_b FROM r WHERE x < y""",
     "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
