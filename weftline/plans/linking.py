@@ -6,15 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import normalise as N
-from weftline.functions.similarity import all_scores, edit_similarity, jaro_winkler, scorer
 from weftline.operators import blocking as B
 from weftline.operators import context as C
-from weftline.operators import decide as D
 from weftline.operators import metrics as M
-from weftline.operators import pair_features as P
-from weftline.operators import risk as R
 from weftline.operators.packed_values import unpack
-from weftline.operators.transliteration import learn
 from weftline.plans.training_data import SQL as TRAINING_SQL
 from weftline.session import cut
 from weftline.sources.tables import table
@@ -98,11 +93,10 @@ def _fold(c: str) -> str:
 _RECORDS = """records AS (SELECT DISTINCT CAST(1 AS TINYINT) AS src, entity_id, business_name, business_address, country, data_split FROM source1
 UNION ALL SELECT DISTINCT CAST(2 AS TINYINT), entity_id, business_name, business_address, country, data_split FROM source2
 UNION ALL SELECT DISTINCT CAST(3 AS TINYINT), entity_id, business_name, business_address, country, data_split FROM source3)"""
-_SIMPLE = f"""simple AS (SELECT entity_id AS id, src, coalesce(country, '') AS country, data_split, tok_distinct(regexp_extract_all({_fold('business_name')}, '[a-z0-9]+')) AS nw,
- tok_distinct(regexp_extract_all({_fold('business_address')}, '[a-z0-9]+')) AS ad,
+_SIMPLE = f"""simple AS (SELECT entity_id AS id, src, coalesce(country, '') AS country, data_split, ordered_distinct(regexp_extract_all({_fold('business_name')}, '[a-z0-9]+')) AS nw,
+ ordered_distinct(regexp_extract_all({_fold('business_address')}, '[a-z0-9]+')) AS ad,
  list_transform(regexp_extract_all({_fold('business_address')}, '[0-9]+'), lambda n: regexp_replace(n, '^0+([0-9])', '\\1')) AS nums FROM records)"""
 # Distinct words in order of first occurrence.
-_SIMPLE = _SIMPLE.replace("tok_distinct(", "ordered_distinct(")
 
 
 def _ordered(sql: str) -> str:

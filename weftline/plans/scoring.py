@@ -15,7 +15,7 @@ from weftline.operators import pair_features as P
 from weftline.operators import risk as R
 from weftline.operators.sampling import sample_keys, sample_rows
 from weftline.operators.transliteration import learn
-from weftline.plans.linking import _ALL, _FEATS, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _VOCAB, _quoted, pairs, records, sides, simple, truth
+from weftline.plans.linking import _ALL, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _quoted, pairs, records, sides, simple, truth
 from weftline.session import cut
 from weftline.sources.tables import table
 
