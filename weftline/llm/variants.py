@@ -54,10 +54,10 @@ def block_keys(n: Name) -> list[str]:
 
 
 def finer_keys(n: Name) -> list[str]:
-    """Keys inside a large block: all sounds, all beginnings, all endings; a form with a part written short also by its one name."""
+    """Keys inside a large block: all sounds, all beginnings, all endings; and each name alone, for forms with a part written short."""
     p = n.proper
     cuts = ("s:" + " ".join(sorted(map(sound, p))), "b:" + " ".join(sorted(x[:3] for x in p)), "e:" + " ".join(sorted(x[-3:] for x in p)))
-    single = [f"1:{x}" for x in p]
+    single = [k for x in p for k in (f"1:{x}", f"2:{x[:3]}", f"3:{x[-3:]}")]
     return [*cuts, *single]
 
 
