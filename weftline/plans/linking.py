@@ -21,6 +21,16 @@ CAPS = {"nw": 5000, "nc": 2000, "ad": 2000}
 # ------------------------------------------------------------------ inputs
 
 
+def heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Head offices of chains in the form of source1, without a split and so without a label."""
+    return table(spark, folder, "chain_heads").select(*COLUMNS, F.lit(None).cast("string").alias("data_split"))
+
+
+def entities(spark: SparkSession, folder: str) -> DataFrame:
+    """What c0 of a candidate pair may name: the rows of source1 and the chain heads."""
+    return table(spark, folder, "source1").select(*COLUMNS, "data_split").unionByName(heads(spark, folder)).distinct()
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """(src, columns) of all sources; deliveries once."""
     parts = [table(spark, folder, f"source{i}").select(F.lit(i).cast("byte").alias("src"), *COLUMNS, "data_split") for i in (1, 2, 3)]
@@ -43,9 +53,17 @@ def words(text: str) -> Column:
     return F.array_distinct(F.regexp_extract_all(N.fold_latin(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+def with_heads(spark: SparkSession, folder: str) -> DataFrame:
+    """records and, as src 0, the chain heads: all that a candidate pair joins."""
+    return records(spark, folder).unionByName(heads(spark, folder).select(F.lit(0).cast("byte").alias("src"), "*").distinct())
+
+
 def simple(spark: SparkSession, folder: str) -> DataFrame:
     """(id, src, country, data_split, nw, ad, nums): words and numbers by one plain pattern."""
-    r = records(spark, folder)
+    return simple_form(records(spark, folder))
+
+
+def simple_form(r: DataFrame) -> DataFrame:
     numbers = F.transform(F.regexp_extract_all(N.fold_latin(F.col("business_address")), F.lit("[0-9]+"), F.lit(0)), lambda n: F.regexp_replace(n, "^0+(?=[0-9])", ""))
     return r.select(F.col("entity_id").alias("id"), "src", F.coalesce("country", F.lit("")).alias("country"), "data_split", words("business_name").alias("nw"), words("business_address").alias("ad"), numbers.alias("nums"))
 
@@ -66,9 +84,9 @@ def _search_inputs(spark: SparkSession, folder: str, channels: list[str]):
 
 def sides(spark: SparkSession, folder: str) -> DataFrame:
     """Candidate pairs with both records' arrays and the label (1 listed, 0 not; only entities of the train split)."""
-    r = simple(spark, folder)
+    r = simple_form(with_heads(spark, folder))
     q = r.where("src > 1").select(F.col("id").alias("q"), F.col("nw").alias("q_nw"), F.col("nums").alias("q_nums"), F.col("ad").alias("q_ad"))
-    s = r.where("src = 1").select(F.col("id").alias("s"), "country", "data_split", F.col("nw").alias("s_nw"), F.col("nums").alias("s_nums"), F.col("ad").alias("s_ad"))
+    s = r.where("src <= 1").select(F.col("id").alias("s"), "country", "data_split", F.col("nw").alias("s_nw"), F.col("nums").alias("s_nums"), F.col("ad").alias("s_ad"))
     t = truth(spark, folder).withColumn("hit", F.lit(1))
     met = pairs(spark, folder).join(q, "q").join(s, "s").join(t, ["q", "s"], "left")
     return met.withColumn("y", F.when(F.col("data_split") == "train", F.coalesce("hit", F.lit(0)))).drop("hit")
@@ -347,5 +365,8 @@ def entity_aggregates(spark, folder):
 @query(f"""{_ALL}, k AS (SELECT q, s, q_nums[1] AS num, nullif(array_to_string(list_sort(q_nw), ' '), '') AS nm FROM sides)
 SELECT q, s, CAST(CASE WHEN num IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY s, num) - 1 END AS BIGINT) AS same_number, CAST(CASE WHEN nm IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY s, nm) - 1 END AS BIGINT) AS same_name FROM k""")
 def group_support(spark, folder):
-    keyed = sides(spark, folder).select("q", "s", F.try_element_at("q_nums", F.lit(1)).alias("num"), F.nullif(F.array_join(F.array_sort("q_nw"), " "), F.lit("")).alias("nm"))
+    r = with_heads(spark, folder)
+    named = simple_form(r.where("src > 1")).select(F.col("id").alias("q"), F.try_element_at("nums", F.lit(1)).alias("num"), F.nullif(F.array_join(F.array_sort("nw"), " "), F.lit("")).alias("nm"))
+    # No label is asked here, so neither truth nor the entity's words are carried through the exchanges.
+    keyed = pairs(spark, folder).select("q", "s").join(r.where("src <= 1").select(F.col("entity_id").alias("s")), "s").join(named, "q")
     return C.support(keyed, "s", {"same_number": "num", "same_name": "nm"}).select("q", "s", "same_number", "same_name")

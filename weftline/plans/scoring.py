@@ -15,7 +15,7 @@ from weftline.operators import pair_features as P
 from weftline.operators import risk as R
 from weftline.operators.sampling import sample_keys, sample_rows
 from weftline.operators.transliteration import learn
-from weftline.plans.linking import _ALL, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _quoted, pairs, records, sides, simple, truth
+from weftline.plans.linking import _ALL, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _quoted, entities, pairs, records, sides, simple, simple_form, truth, with_heads
 from weftline.session import cut
 from weftline.sources.tables import table
 
@@ -51,8 +51,8 @@ wt AS (SELECT k.id, k.src, k.t, coalesce(v.idf, u.idf, 0.0) AS idf, coalesce(v.d
 
 
 def weighted_sides(spark, folder):
-    """sides with arrays of struct(t, idf, df) q_w and s_w."""
-    r = simple(spark, folder)
+    """sides with arrays of struct(t, idf, df) q_w and s_w; df counts source1 alone, as the index does, and chain heads are weighed by it."""
+    r = simple_form(with_heads(spark, folder))
     size = table(spark, folder, "source1").groupBy(F.coalesce("country", F.lit("")).alias("country")).agg(F.countDistinct("entity_id").alias("n_index"))
     each = r.select("id", "src", "country", F.explode("nw").alias("t"))
     df = each.where("src = 1").groupBy("country", "t").agg(F.countDistinct("id").alias("df")).join(size, "country")
@@ -60,7 +60,7 @@ def weighted_sides(spark, folder):
     unseen = size.select("country", F.log((F.col("n_index") + 1) / 0.5).alias("top"))
     weighed = each.join(vocab, ["country", "t"], "left").join(unseen, "country", "left")
     arrays = cut(weighed.groupBy("id", "src").agg(F.sort_array(F.collect_list(F.struct("t", F.coalesce("idf", "top", F.lit(0.0)).alias("idf"), F.coalesce("df", F.lit(0)).alias("df")))).alias("w")))
-    q, s = arrays.where("src > 1").select(F.col("id").alias("q"), F.col("w").alias("q_w")), arrays.where("src = 1").select(F.col("id").alias("s"), F.col("w").alias("s_w"))
+    q, s = arrays.where("src > 1").select(F.col("id").alias("q"), F.col("w").alias("q_w")), arrays.where("src <= 1").select(F.col("id").alias("s"), F.col("w").alias("s_w"))
     empty = F.array().cast("array<struct<t:string,idf:double,df:bigint>>")
     met = sides(spark, folder).join(q, "q", "left").join(s, "s", "left")
     return met.withColumns({"q_w": F.coalesce("q_w", empty), "s_w": F.coalesce("s_w", empty)})
@@ -121,8 +121,8 @@ _NAMES = f"""WITH {_RECORDS}, {_PAIRS}, nm AS (SELECT p.q, p.s, lower(coalesce(a
 
 
 def _names(spark, folder):
-    r = records(spark, folder)
-    q, s = r.where("src > 1").select(F.col("entity_id").alias("q"), F.lower(F.coalesce("business_name", F.lit(""))).alias("a")), r.where("src = 1").select(F.col("entity_id").alias("s"), F.lower(F.coalesce("business_name", F.lit(""))).alias("b"))
+    r = with_heads(spark, folder)
+    q, s = r.where("src > 1").select(F.col("entity_id").alias("q"), F.lower(F.coalesce("business_name", F.lit(""))).alias("a")), r.where("src <= 1").select(F.col("entity_id").alias("s"), F.lower(F.coalesce("business_name", F.lit(""))).alias("b"))
     return pairs(spark, folder).select("q", "s").join(q, "q").join(s, "s")
 
 
@@ -283,7 +283,7 @@ def logit_mean(spark, folder):
 
 @query(f"""WITH {_PAIRS}, e AS (SELECT DISTINCT entity_id AS s, country FROM source1) SELECT p.q, p.s, country, round(CASE WHEN country = 'France' THEN sc_nc ELSE p.p END, 6) AS p FROM pairs p JOIN e ON e.s = p.s""")
 def merge_preds(spark, folder):
-    every = pairs(spark, folder).join(table(spark, folder, "source1").select(F.col("entity_id").alias("s"), "country").distinct(), "s")
+    every = pairs(spark, folder).join(entities(spark, folder).select(F.col("entity_id").alias("s"), "country"), "s")
     out = D.merge_by_country(every.select("q", "s", "country", "p"), every.select("q", "s", F.col("sc_nc").alias("p")), "country", "France")
     return out.select("q", "s", "country", F.round("p", 6).alias("p"))
 
@@ -311,7 +311,7 @@ def noise_rule(spark, folder):
 
 @query(f"WITH {_PAIRS}, e AS (SELECT DISTINCT entity_id AS s, country FROM source1) SELECT q, p.s, rk FROM pairs p JOIN e ON e.s = p.s WHERE p.p >= 0.5 OR rk < 3 OR (country NOT IN ('US', 'India') AND (rk < 7 OR rk = 99))")
 def stage0_prune(spark, folder):
-    every = pairs(spark, folder).join(table(spark, folder, "source1").select(F.col("entity_id").alias("s"), "country").distinct(), "s")
+    every = pairs(spark, folder).join(entities(spark, folder).select(F.col("entity_id").alias("s"), "country"), "s")
     return G.prune(every, "p", "rk", F.col("country").isin("US", "India"), least=0.5).select("q", "s", "rk")
 
 
@@ -373,10 +373,10 @@ def self_training(spark, folder):
 
 @query()
 def linked_records(spark, folder):
-    """The whole chain: candidates, features, two stages, best entity, expected-F decision, one list per entity."""
+    """The whole chain: candidates, features, two stages, best entity, expected-F decision, one list per entity, chain heads among them."""
     best = Window.partitionBy("q").orderBy(F.col("p").desc(), F.col("s"))
     scored = gbt_cascade(spark, folder).select("q", "s", "p").withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
-    return D.match_lists(table(spark, folder, "source1"), D.expected_f_keep(cut(scored)))
+    return D.match_lists(entities(spark, folder), D.expected_f_keep(cut(scored)))
 
 
 # ------------------------------------------------------------------ samples and importances
