@@ -262,10 +262,8 @@ def threshold_sweep(spark, folder):
 @query(f"""WITH {_PAIRS}, {_BEST}, l AS (SELECT s, list_sort(list(p)) AS ps, count(*) AS n FROM best GROUP BY s HAVING count(*) <= 12)
 SELECT s, CAST(n AS BIGINT) AS n, round(list_reduce(list_prepend(CAST(1.0 AS DOUBLE), ps), lambda a, x: a * (1 - x)), 6) AS p_none, round(list_sum(ps), 6) AS mean FROM l""")
 def poisson_binomial(spark, folder):
-    lists = _best(spark, folder).groupBy("s").agg(F.sort_array(F.collect_list("p")).alias("ps"), F.count("*").alias("n")).where("n <= 12")
-    pmf = lists.select("s", "n", D.poisson_binomial(F.col("ps")).alias("pmf"))
-    mean = F.aggregate(F.transform("pmf", lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
-    return pmf.select("s", "n", F.round(F.try_element_at("pmf", F.lit(1)), 6).alias("p_none"), F.round(mean, 6).alias("mean"))
+    """Per entity the chance that none of its queries belongs to it and the expected number, whatever its size: products and sums, no list of its pairs."""
+    return D.none_and_mean(_best(spark, folder), "s").select("s", "n", F.round("p_none", 6).alias("p_none"), F.round("mean", 6).alias("mean"))
 
 
 @query()
