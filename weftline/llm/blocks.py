@@ -1,6 +1,9 @@
-"""Pairs of forms that share a block key, with work linear in the forms of large blocks.
+"""Pairs of forms that share a block key.
 
-Blocks of up to ``all_pairs`` forms give all their pairs. A larger block is cut into finer ones, a form standing in one for each of its ``finer`` keys (sounds and outer letters of all
+``every_pair`` gives all of them, whatever the size of a block: a large one is dealt to parts by hash, and each pair of parts is a group of its own, so no task meets a whole block.
+The work is quadratic in the forms of a block; a condition that every match fulfils keeps what leaves it small.
+
+``block_pairs`` does work linear in the forms of large blocks and may miss pairs there. Blocks of up to ``all_pairs`` forms give all their pairs. A larger block is cut into finer ones, a form standing in one for each of its ``finer`` keys (sounds and outer letters of all
 its names): forms that differ by one typo share at least one of those, and forms that differ by more share a larger block by chance only. Finer blocks of up to ``all_pairs`` forms again give
 all pairs. What is still larger holds nearly equal spellings: there each form meets the form next to it in the order of spelling and, for each of its ``groups`` (the same given name, the same
 trade), the ``leaders`` forms of most rows; links to the others of a cluster follow by transitivity. Leaders are ranked inside hash shards first, so no task ranks a whole block.
@@ -8,7 +11,9 @@ trade), the ``leaders`` forms of most rows; links to the others of a cluster fol
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,6 +40,19 @@ def _leaders(rows: DataFrame, leaders: int) -> DataFrame:
     return best.select("key", "grp", F.col("form").alias("top"))
 
 
+def every_pair(rows: DataFrame, may: Callable[[Column, Column], Column] | None = None, part: int = 256) -> DataFrame:
+    """(x, y) with x < y, each once, of all rows (key, form) that share a key; of those only where ``may`` holds."""
+    size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = cut(rows.join(size, "key").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("h", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int")))
+    # The pair of parts (i, j), i <= j, compares the forms of part i with those of part j.
+    left = dealt.select("key", F.col("h").alias("i"), F.explode(F.sequence("h", F.col("parts") - 1)).alias("j"), F.col("form").alias("a"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("i"), F.col("h").alias("j"), F.col("form").alias("b"))
+    met = left.join(right, ["key", "i", "j"]).where("a <> b and (i < j or a < b)")
+    if may is not None:
+        met = met.where(may(F.col("a"), F.col("b")))
+    return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+
+
 def block_pairs(rows: DataFrame, all_pairs: int = 48, leaders: int = 4) -> DataFrame:
     """(x, y) with x < y, each once, of rows of SCHEMA."""
     sized = _sized(rows)

@@ -8,7 +8,7 @@
    most rows, of equal ones that of the least name; so a name without a trade never links two trades. Partial forms that fit no cluster
    are clustered among themselves.
 
-Large blocks cost linear work (``blocks``).
+All forms of a block are compared, however many; those of another trade or given name go before they are taken apart (``blocks``).
 
 Null, empty and blank names, and names without any proper name, are in no cluster. Repeated rows of one key with one name count once; rows of
 one key with different names all count. Ties are broken by the order of the forms' keys.
@@ -19,11 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import edits, jaro_winkler
-from weftline.llm.blocks import SCHEMA, block_pairs
+from weftline.llm.blocks import every_pair
 from weftline.llm.names import Name, NameReader, sound
 from weftline.operators.components import components, pairs_within
 from weftline.session import cut
@@ -53,14 +53,6 @@ def block_keys(n: Name) -> list[str]:
     return sorted(keys)
 
 
-def finer_keys(n: Name) -> list[str]:
-    """Keys inside a large block: all sounds, all beginnings, all endings; and each name alone, for forms with a part written short."""
-    p = n.proper
-    cuts = ("s:" + " ".join(sorted(map(sound, p))), "b:" + " ".join(sorted(x[:3] for x in p)), "e:" + " ".join(sorted(x[-3:] for x in p)))
-    single = [k for x in p for k in (f"1:{x}", f"2:{x[:3]}", f"3:{x[-3:]}")]
-    return [*cuts, *single]
-
-
 def _alike(x: str, y: str) -> bool:
     if x == y:
         return True
@@ -123,19 +115,22 @@ def forms_of(entries: DataFrame, key: str, name: str, country: str | None = None
     return rows.select("k", form("n", "c").alias("form")).where("form is not null").distinct()
 
 
+def _may(x: Column, y: Column) -> Column:
+    """What :func:`same_trade` and, with both given names written, :func:`same_given` ask, on the texts of forms."""
+    a, b = F.split(x, "\\|"), F.split(y, "\\|")
+    trade = (a[4] == b[4]) | (a[4] == "") | (b[4] == "")
+    given = (a[0] == "") | (b[0] == "") | F.arrays_overlap(F.split(a[0], ","), F.split(b[0], ","))
+    return trade & given
+
+
 def candidate_pairs(forms: DataFrame) -> DataFrame:
-    """(x, y) different forms of a block, x < y in spelling."""
+    """(x, y) different forms of a block whose trades and given names agree, x < y in spelling."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for f, n in zip(batch["form"], batch["n"]):
-                name = Name.of(f)
-                who = ",".join(name.given)
-                rows += [(k, f, n, finer_keys(name), [f"g:{who}", f"t:{name.trade}"]) for k in block_keys(name)]
-            yield pd.DataFrame(rows, columns=["key", "form", "n", "finer", "groups"])
-
-    return block_pairs(cut(forms.mapInPandas(keyed, SCHEMA)))
+            yield pd.DataFrame([(k, f) for f in batch["form"] for k in block_keys(Name.of(f))], columns=["key", "form"])
+
+    return every_pair(cut(forms.mapInPandas(keyed, "key string, form string")), _may)
 
 
 def clusters(entries: DataFrame, key: str, name: str, country: str | None = None) -> DataFrame:
