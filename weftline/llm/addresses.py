@@ -1,15 +1,17 @@
 """Same postal address written differently.
 
 Addresses are taken apart (``places``) and forms alike in all parts taken together. A missing town or postcode is filled from the other, by the pair of both that is most frequent
-in the input. Forms meet in blocks of the house number with the postcode, with the phonetic code of the street, or with the street's outer letters, and are compared part by part;
-the weights of the agreement levels come from expectation-maximisation over all compared pairs (``linkage``). A pair with a match probability of ``threshold``
-or more is the same building, unless an exact check speaks against it: another number, kind of street or direction, a street too far in spelling, or a
-town too far in spelling without the same postcode, or another postcode without the same town.
+in the input. Forms meet in blocks of the house number with the postcode, or with the phonetic code or outer letters of the street and outer letters of the town; a form without town and postcode meets
+every form of its number and street (``blocks``: no block is cut). They are compared part by part into levels of agreement, and the weights of the levels come from expectation-maximisation over all
+compared pairs (``linkage``), a missing part having a level of its own. A pair with a match probability of ``threshold`` or more is the same building: nothing else decides.
+
+Number, street, kind, direction and town define a building. That enters as classes of the estimation, not as a rule: pairs that differ in one defining part and agree elsewhere are neighbours, a class of
+their own for each such part. Without them EM would take neighbours for matches.
 
 Forms with a town or postcode and a kind of street are clustered by connected components. Other forms join the one cluster they fit, of several
 the one of most rows, of equal ones that of the least name; those that fit none are clustered among themselves.
 
-Null, blank and filler texts are in no cluster. Addresses without a house number or street are buildings of their own. Repeated rows count once. Large blocks cost linear work (``blocks``).
+Null, blank and filler texts are in no cluster. Addresses without a house number or street are buildings of their own. Repeated rows count once.
 """
 
 from __future__ import annotations
@@ -21,25 +23,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import edits, jaro_winkler
-from weftline.llm.blocks import SCHEMA, block_pairs
-from weftline.llm.linkage import MISSING, estimate, pattern_counts
+from weftline.llm.blocks import BARE, BOTH, SCHEMA, WHOLE, every_pair
+from weftline.llm.linkage import MISSING, Weights, estimate, pattern_counts
 from weftline.llm.names import sound
 from weftline.llm.places import Place, read_place
 from weftline.operators.components import components, pairs_within
 from weftline.session import cut
 
 FIELDS = ["street", "kind", "way", "town", "postcode", "state"]
+# Fields that define a building.
+DEFINING = {"street", "kind", "way", "town"}
 
 
 def spelling(a: str, b: str) -> int:
-    """MISSING, 0 apart, 1 close, 2 equal."""
+    """MISSING, 0 apart, 1 close, 2 one edit, 3 equal."""
     if not a or not b:
         return MISSING
     if a == b:
-        return 2
+        return 3
     n = min(len(a), len(b))
     most = 1 if n < 5 else 2 if n < 12 else 3
-    return int(edits(a, b, most) <= most and jaro_winkler(a, b) >= 0.84)
+    e = edits(a, b, most)
+    if e > most or jaro_winkler(a, b) < 0.84:
+        return 0
+    return 2 if e == 1 else 1
 
 
 def _equal(a: str, b: str) -> int:
@@ -57,26 +64,20 @@ def compare(a: Place, b: Place) -> tuple[int, ...]:
     return (street, _equal(a.kind, b.kind), int(a.way == b.way), spelling(a.town, b.town), _equal(a.postcode, b.postcode), _equal(a.state, b.state))
 
 
-def possible(p: tuple[int, ...]) -> bool:
-    """The exact check on the levels."""
-    street, kind, way, town, postcode, _ = p
-    if street <= 0 or kind == 0 or way == 0:
-        return False
-    if town == 0 and postcode != 1:
-        return False
-    return not (postcode == 0 and town != 2)
-
-
 def is_full(p: Place) -> bool:
     return bool(p.town or p.postcode) and bool(p.kind)
 
 
-def keys(p: Place) -> list[str]:
+def keys(p: Place) -> list[tuple[str, int]]:
+    """Block keys with the role in them."""
     if not p.number or not p.street:
         return []
-    out = {f"{p.number}~{sound(p.street)}", f"{p.number}^{p.street[:3]}", f"{p.number}${p.street[-3:]}"}
+    streets = {f"{p.number}~{sound(p.street)}", f"{p.number}^{p.street[:3]}", f"{p.number}${p.street[-3:]}"}
+    if not p.town and not p.postcode:
+        return sorted((k, BARE) for k in streets)
+    out = {(k, WHOLE) for k in streets} | {(f"{k}<{p.town[:2]}", BOTH) for k in streets if p.town} | {(f"{k}>{p.town[-2:]}", BOTH) for k in streets if p.town}
     if p.postcode:
-        out.add(f"{p.number}#{p.postcode}")
+        out.add((f"{p.number}#{p.postcode}", BOTH))
     return sorted(out)
 
 
@@ -113,15 +114,9 @@ def compared(forms: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for f, n in zip(batch["form"], batch["n"]):
-                place = Place.of(f)
-                street, town = place.street, place.town
-                finer = [f"s:{sound(street)} {sound(town)}", f"b:{street[:3]} {town[:3]}", f"e:{street[-3:]} {town[-3:]}", f"z:{place.kind} {place.way} {place.postcode}", f"1:{street}"]
-                rows += [(k, f, n, finer, [f"{place.kind}|{place.way}"]) for k in keys(place)]
-            yield pd.DataFrame(rows, columns=["key", "form", "n", "finer", "groups"])
+            yield pd.DataFrame([(k, f, role) for f in batch["form"] for k, role in keys(Place.of(f))], columns=["key", "form", "role"])
 
-    pairs = block_pairs(cut(forms.mapInPandas(keyed, SCHEMA)))
+    pairs = every_pair(forms.select("form").mapInPandas(keyed, SCHEMA))
 
     @F.pandas_udf(", ".join(f"{f} int" for f in FIELDS))
     def levels(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
@@ -130,17 +125,22 @@ def compared(forms: DataFrame) -> DataFrame:
     return cut(pairs.select("x", "y", levels("x", "y").alias("l")).select("x", "y", "l.*"))
 
 
+def weigh(counts: dict[tuple[int, ...], int]) -> Weights:
+    """The weights of the levels of FIELDS."""
+    return estimate(counts, [at for at, f in enumerate(FIELDS) if f in DEFINING])
+
+
 def clusters(entries: DataFrame, key: str, address: str, country: str | None = None, threshold: float = 0.5) -> DataFrame:
     """(key, place) of every entry with an address."""
     typed = cut(filled(cut(forms_of(entries, key, address, country))))
     forms = cut(typed.groupBy("form").agg(F.count("*").alias("n")))
     pairs = compared(forms)
-    weights = estimate(pattern_counts(pairs, FIELDS))
+    weights = weigh(pattern_counts(pairs, FIELDS))
     known: dict[tuple[int, ...], bool] = {}
 
     def accepted(p: tuple[int, ...]) -> bool:
         if p not in known:
-            known[p] = possible(p) and weights.probability(p) >= threshold
+            known[p] = weights.probability(p) >= threshold
         return known[p]
 
     @F.pandas_udf("string")

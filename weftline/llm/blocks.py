@@ -1,12 +1,11 @@
-"""Pairs of forms that share a block key.
+"""Pairs of forms that share a block key: all of them, whatever the size of a block.
 
-``every_pair`` gives all of them, whatever the size of a block: a large one is dealt to parts by hash, and each pair of parts is a group of its own, so no task meets a whole block.
-The work is quadratic in the forms of a block; a condition that every match fulfils keeps what leaves it small.
+A form stands in a block with a role. ``BOTH`` forms meet each other. A form that lacks a part (``BARE``) stands in the wide block of its key and meets every form there, while forms with the part
+(``WHOLE``) stand in the wide block to be met and meet each other in a narrow block of their own, whose key holds the part. So the forms of one trade are compared with those of that trade and with
+those of no trade, and a block is as small as the condition on its pairs allows.
 
-``block_pairs`` does work linear in the forms of large blocks and may miss pairs there. Blocks of up to ``all_pairs`` forms give all their pairs. A larger block is cut into finer ones, a form standing in one for each of its ``finer`` keys (sounds and outer letters of all
-its names): forms that differ by one typo share at least one of those, and forms that differ by more share a larger block by chance only. Finer blocks of up to ``all_pairs`` forms again give
-all pairs. What is still larger holds nearly equal spellings: there each form meets the form next to it in the order of spelling and, for each of its ``groups`` (the same given name, the same
-trade), the ``leaders`` forms of most rows; links to the others of a cluster follow by transitivity. Leaders are ranked inside hash shards first, so no task ranks a whole block.
+A block is dealt to parts by hash, and each pair of parts is a group of its own: no task meets a whole block, and none is cut, ranked or sampled. What is left is work quadratic in the forms
+(different spellings, not rows) of a narrow block; ``may`` drops pairs in the join itself, before anything is exchanged.
 """
 
 from __future__ import annotations
@@ -15,55 +14,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from weftline.session import cut
 
-SCHEMA = "key string, form string, n long, finer array<string>, groups array<string>"
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(sizes, "key")
-
-
-def _all(rows: DataFrame) -> DataFrame:
-    a, b = rows.select("key", F.col("form").alias("x")), rows.select("key", F.col("form").alias("y"))
-    return a.join(b, "key").where("x < y").select("x", "y")
-
-
-def _leaders(rows: DataFrame, leaders: int) -> DataFrame:
-    ranked = rows.withColumn("shard", F.pmod(F.xxhash64("form"), F.lit(64)))
-    order = [F.col("n").desc(), F.col("form")]
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("key", "grp", "shard").orderBy(*order))).where(F.col("r") <= leaders)
-    best = first.withColumn("r", F.row_number().over(Window.partitionBy("key", "grp").orderBy(*order))).where(F.col("r") <= leaders)
-    return best.select("key", "grp", F.col("form").alias("top"))
+SCHEMA = "key string, form string, role int"
+BOTH, BARE, WHOLE = 0, 1, 2
 
 
 def every_pair(rows: DataFrame, may: Callable[[Column, Column], Column] | None = None, part: int = 256) -> DataFrame:
-    """(x, y) with x < y, each once, of all rows (key, form) that share a key; of those only where ``may`` holds."""
-    size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    dealt = cut(rows.join(size, "key").withColumn("parts", F.ceil(F.col("size") / part).cast("int")).withColumn("h", F.pmod(F.xxhash64("form"), F.col("parts")).cast("int")))
-    # The pair of parts (i, j), i <= j, compares the forms of part i with those of part j.
-    left = dealt.select("key", F.col("h").alias("i"), F.explode(F.sequence("h", F.col("parts") - 1)).alias("j"), F.col("form").alias("a"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("i"), F.col("h").alias("j"), F.col("form").alias("b"))
-    met = left.join(right, ["key", "i", "j"]).where("a <> b and (i < j or a < b)")
+    """(x, y) with x < y, each once, of rows of SCHEMA that meet in a block; of those only where ``may`` holds. Repeated rows count once; without rows there is no pair."""
+    asks = F.col("role") <= BARE
+    sizes = rows.groupBy("key").agg(F.count_if(asks).alias("n_ask"), F.count("*").alias("n_all")).where("n_ask > 0 and n_all > 1")
+    parts = sizes.select("key", F.ceil(F.col("n_ask") / part).cast("int").alias("pa"), F.ceil(F.col("n_all") / part).cast("int").alias("pb"))
+    dealt = cut(rows.join(parts, "key").withColumn("h", F.xxhash64("form")))
+    # The group (i, j) holds part i of those who ask and part j of all.
+    left = dealt.where(asks).select("key", F.pmod("h", "pa").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"), F.col("form").alias("a"), F.col("role").alias("ra"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)).alias("i"), F.pmod("h", "pb").cast("int").alias("j"), F.col("form").alias("b"), F.col("role").alias("rb"))
+    met = left.join(right, ["key", "i", "j"]).where("case when ra = rb then a < b else a <> b and ra = 1 and rb = 2 end")
     if may is not None:
         met = met.where(may(F.col("a"), F.col("b")))
     return met.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-
-
-def block_pairs(rows: DataFrame, all_pairs: int = 48, leaders: int = 4) -> DataFrame:
-    """(x, y) with x < y, each once, of rows of SCHEMA."""
-    sized = _sized(rows)
-    pairs = _all(sized.where(F.col("size") <= all_pairs))
-    large = sized.where(F.col("size") > all_pairs)
-    finer = large.select("key", "form", "n", "groups", F.explode("finer").alias("cut")).select(F.concat_ws("/", "key", "cut").alias("key"), "form", "n", "groups")
-    fine = cut(_sized(finer))
-    pairs = pairs.unionByName(_all(fine.where(F.col("size") <= all_pairs)))
-    rest = fine.where(F.col("size") > all_pairs)
-    grouped = rest.select("key", "form", "n", F.explode("groups").alias("grp"))
-    led = grouped.join(_leaders(grouped, leaders), ["key", "grp"]).where("form <> top").select(F.least("form", "top").alias("x"), F.greatest("form", "top").alias("y"))
-    order = Window.partitionBy("key", "slice").orderBy("form")
-    beside = rest.withColumn("slice", F.substring("form", 1, 12)).select(F.col("form").alias("x"), F.lead("form").over(order).alias("y")).where("y is not null")
-    return pairs.unionByName(led).unionByName(beside).distinct()

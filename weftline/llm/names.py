@@ -27,12 +27,17 @@ TRADES = {
     "librairie": "librairie libr librairies", "assurances": "assurances assur assurance", "boulangerie": "boulangerie boul boulang boulangers", "plomberie": "plomberie plomb plombiers", "menuiserie": "menuiserie menuis menuisiers",
     "maconnerie": "maconnerie macon macons", "coffee": "coffee", "optics": "optics", "fuels": "fuels", "foods": "foods",
 }
-# Short and other forms of given names, by given name.
+# Short and other forms of given names, by given name; a sample of what is common, others may be given to NameReader.
 GIVEN = {
-    "william": "will bill billy wm", "katherine": "kate kathy cathy catherine kathryn cath", "michael": "mike mick", "patricia": "pat trish patty", "james": "jim jas jimmy", "elizabeth": "liz beth eliza elisabeth babeth elise betty",
-    "edward": "ed eddie ned ted", "robert": "bob rob robt bobby", "richard": "rick dick rich", "charles": "chuck charlie chas", "margaret": "maggie peggy meg", "theodore": "theo ted teddy", "lakshmi": "laxmi lakshmy",
-    "krishna": "krish kishan krishnan", "mohammed": "md mohd mohamed muhammad mohammad", "venkatesh": "venky venkat", "subramanian": "subbu mani subramaniam", "rajendra": "raju rajinder raj", "chandrasekhar": "chandru shekhar chandra",
-    "padmavati": "padma", "frederic": "fred fredo", "alexandre": "alex", "dominique": "dom domi", "philippe": "phil", "christophe": "chris", "jeanpierre": "jp jean pierre",
+    "william": "will bill billy wm", "katherine": "kate kathy cathy catherine kathryn cath", "michael": "mike mick", "patricia": "pat trish patty", "james": "jim jas jimmy",
+    "elizabeth": "liz beth eliza elisabeth babeth elise betty", "edward": "ed eddie ned ted", "robert": "bob rob robt bobby", "richard": "rick dick rich", "charles": "chuck charlie chas",
+    "margaret": "maggie peggy meg", "theodore": "theo ted teddy", "samuel": "sam sammy", "daniel": "dan danny", "thomas": "tom tommy", "jennifer": "jen jenn jenny", "joseph": "joe joey",
+    "john": "jack johnny", "david": "dave", "anthony": "tony", "benjamin": "ben benny", "nicholas": "nick nicky", "matthew": "matt", "andrew": "andy", "christopher": "chris", "stephen": "steve steven",
+    "gregory": "greg", "jeffrey": "jeff", "timothy": "tim", "kenneth": "ken kenny", "ronald": "ron ronnie", "donald": "don donnie", "lawrence": "larry", "susan": "sue susie", "deborah": "deb debbie",
+    "barbara": "barb", "rebecca": "becky", "victoria": "vicky", "jessica": "jess", "kimberly": "kim", "pamela": "pam", "cynthia": "cindy", "christina": "tina",
+    "lakshmi": "laxmi lakshmy", "krishna": "krish kishan krishnan", "mohammed": "md mohd mohamed muhammad mohammad", "venkatesh": "venky venkat", "subramanian": "subbu mani subramaniam",
+    "rajendra": "raju rajinder raj", "chandrasekhar": "chandru shekhar chandra", "padmavati": "padma", "frederic": "fred fredo", "alexandre": "alex", "dominique": "dom domi", "philippe": "phil",
+    "christophe": "chris", "jeanpierre": "jp jean pierre",
 }
 _TRADE_OF = {w: t for t, ws in TRADES.items() for w in ws.split()}
 _GIVEN_OF: dict[str, frozenset[str]] = {}
@@ -129,9 +134,15 @@ _NEAR_GIVEN, _NEAR_TRADE, _NEAR_LEGAL = NearWords(list(_GIVEN_OF)), NearWords(li
 
 
 class NameReader:
-    def __init__(self, bound: int = 300_000):
+    """``trades`` and ``nicknames`` add to the fixed tables: trade of a word, given names of a word."""
+
+    def __init__(self, bound: int = 300_000, trades: dict[str, str] | None = None, nicknames: dict[str, list[str]] | None = None):
         self.known: dict[str, tuple[str, object]] = {}
         self.bound = bound
+        self.trade_of = {**(trades or {}), **_TRADE_OF}
+        self.given_of = {**_GIVEN_OF, **{w: _GIVEN_OF.get(w, frozenset()) | frozenset(g) for w, g in (nicknames or {}).items()}}
+        self.near_trade = NearWords(list(self.trade_of)) if trades else _NEAR_TRADE
+        self.near_given = NearWords(list(self.given_of)) if nicknames else _NEAR_GIVEN
 
     def _kind(self, word: str) -> tuple[str, object]:
         got = self.known.get(word)
@@ -151,25 +162,28 @@ class NameReader:
         for w in forms:
             if w in _DROPPED:
                 return "none", ""
-            if w in _TRADE_OF:
-                return "trade", _TRADE_OF[w]
-            if w in _GIVEN_OF:
-                return "given", _GIVEN_OF[w]
+            if w in self.trade_of:
+                return "trade", self.trade_of[w]
+            if w in self.given_of:
+                return "given", self.given_of[w]
         w = forms[0]
         if len(w) == 1:
             return "initial", w
-        if (n := _NEAR_GIVEN.find(w)) is not None:
-            return "given", _GIVEN_OF[n]
-        if (n := _NEAR_TRADE.find(w)) is not None:
-            return "trade", _TRADE_OF[n]
+        if (n := self.near_given.find(w)) is not None:
+            return "given", self.given_of[n]
+        if (n := self.near_trade.find(w)) is not None:
+            return "trade", self.trade_of[n]
         if _NEAR_LEGAL.find(w) is not None:
             return "none", ""
         return "proper", w
 
     def read(self, raw: str | None, country: str | None = None) -> Name | None:
         """None where nothing is left that could name anyone."""
-        if raw is None:
-            return None
+        return None if raw is None else self.name(*self.words(raw), country)
+
+    @staticmethod
+    def words(raw: str) -> tuple[list[str], str]:
+        """The words of a typed name and the label of its web address."""
         text = folded(from_devanagari(raw) if any("\u0900" <= c <= "\u097f" for c in raw) else raw)
         text = _PHONE.sub(" ", text)
         text = re.sub(r"\bm\s*/\s*s\b", " ", text)
@@ -182,9 +196,12 @@ class NameReader:
         bare = _WEB.sub(" ", text)
         text = _DOTTED_WIDE.sub(_joined, _DOTTED.sub(_joined, _PRIVATE.sub(" ", bare)))
         text = _SPACED.sub(lambda m: m[1].replace(" ", "") if m[1].replace(" ", "") in _DROPPED else m[0], text)
+        return _WORD.findall(text.replace("'", "")), web
+
+    def name(self, words: list[str], web: str = "", country: str | None = None) -> Name | None:
         given: frozenset[str] | None = None
         initials, proper, trade = [], [], ""
-        for word in _WORD.findall(text.replace("'", "")):
+        for word in words:
             kind, value = self._kind(word)
             if kind == "given":
                 given = value if given is None else (given & value or given)

@@ -1,15 +1,15 @@
 """Variant spellings of names typed by people.
 
-1. Every name is taken apart (``names``): given name with its nicknames, proper names in order of the alphabet, trade. Entries alike in all parts are one form.
+1. Every name is taken apart (``names``): given name with its nicknames, proper names in order of the alphabet, trade. Trades beyond a fixed table are learned from the input (``trades``). Entries alike
+   in all parts are one form.
 2. Forms meet in blocks. A block key is the phonetic code of one proper name with the first two, the last two or, for partial forms, the first letter
-   of the other; a typo in one name leaves one of these keys as it was. Keys of the outer letters of both catch typos in both. Names written as one word are tried at every place where they may have been joined.
+   of the other; a typo in one name leaves one of these keys as it was. Keys of the outer letters of both catch typos in both. Names written as one word are tried at every place where they may have been
+   joined. Forms of one trade and forms without a trade meet, forms of different trades don't (``blocks``): nothing else is left out, however large a block.
 3. Pairs of a block are compared: proper names by Jaro-Winkler and edits, given names by the nickname table, trades by class.
 4. Full forms (no part missing or shortened) are clustered by connected components. A partial form joins the one cluster it fits, of several the one with
    most rows, of equal ones that of the least name; so a name without a trade never links two trades. Partial forms that fit no cluster
    are clustered among themselves.
 
-All forms of a block are compared, however many; those of another trade or given name go before they are taken apart (``blocks``).
-
 Null, empty and blank names, and names without any proper name, are in no cluster. Repeated rows of one key with one name count once; rows of
 one key with different names all count. Ties are broken by the order of the forms' keys.
 """
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import edits, jaro_winkler
-from weftline.llm.blocks import every_pair
+from weftline.llm.blocks import BARE, BOTH, WHOLE, every_pair
 from weftline.llm.names import Name, NameReader, sound
+from weftline.llm.trades import learned_trades
 from weftline.operators.components import components, pairs_within
 from weftline.session import cut
 
@@ -102,25 +103,35 @@ def same(a: Name, b: Name) -> bool:
 def forms_of(entries: DataFrame, key: str, name: str, country: str | None = None) -> DataFrame:
     """(key, form) of every different (key, name) with a name; the form is the text of :meth:`Name.key`."""
 
-    @F.pandas_udf("string")
-    def form(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        reader = NameReader()
-        for names, countries in batches:
-            read = (reader.read(n, c) for n, c in zip(names, countries))
-            yield pd.Series([None if r is None or not r.proper else r.key() for r in read], dtype=object)
+    @F.pandas_udf("words array<string>, web string")
+    def taken_apart(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([NameReader.words(n) for n in names], columns=["words", "web"])
 
     where = F.coalesce(F.col(country), F.lit("")) if country else F.lit("")
     rows = entries.select(F.col(key).alias("k"), F.col(name).alias("n"), where.alias("c")).where(F.col("k").isNotNull() & F.col("n").isNotNull())
     rows = rows.groupBy("k", "n").agg(F.max("c").alias("c"))
-    return rows.select("k", form("n", "c").alias("form")).where("form is not null").distinct()
+    read = cut(rows.select("k", "c", taken_apart("n").alias("r")).select("k", "c", "r.*"))
+    trades = entries.sparkSession.sparkContext.broadcast(learned_trades(read.select("words")))
+
+    @F.pandas_udf("string")
+    def form(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        reader = NameReader(trades=trades.value)
+        for words, webs, countries in batches:
+            found = (reader.name(list(w), x, c) for w, x, c in zip(words, webs, countries))
+            yield pd.Series([None if r is None or not r.proper else r.key() for r in found], dtype=object)
+
+    return read.select("k", form("words", "web", "c").alias("form")).where("form is not null").distinct()
 
 
 def _may(x: Column, y: Column) -> Column:
-    """What :func:`same_trade` and, with both given names written, :func:`same_given` ask, on the texts of forms."""
+    """What :func:`same_given` asks of written given names and, in terms of Levenshtein edits, :func:`same_proper` of two proper names each; on the texts of forms."""
     a, b = F.split(x, "\\|"), F.split(y, "\\|")
-    trade = (a[4] == b[4]) | (a[4] == "") | (b[4] == "")
     given = (a[0] == "") | (b[0] == "") | F.arrays_overlap(F.split(a[0], ","), F.split(b[0], ","))
-    return trade & given
+    # Two swaps of neighbours are two edits there and four here.
+    p, q = F.split(a[2], ","), F.split(b[2], ",")
+    near = lambda i, j: F.levenshtein(F.get(p, F.lit(i)), F.get(q, F.lit(j)), 4) >= 0
+    both = (F.size(p) == 2) & (F.size(q) == 2)
+    return given & (~both | (near(0, 0) & near(1, 1)) | (near(0, 1) & near(1, 0)))
 
 
 def candidate_pairs(forms: DataFrame) -> DataFrame:
@@ -128,9 +139,14 @@ def candidate_pairs(forms: DataFrame) -> DataFrame:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([(k, f) for f in batch["form"] for k in block_keys(Name.of(f))], columns=["key", "form"])
-
-    return every_pair(cut(forms.mapInPandas(keyed, "key string, form string")), _may)
+            rows = []
+            for f in batch["form"]:
+                n = Name.of(f)
+                for k in block_keys(n):
+                    rows += [(f"{k}|{n.trade}", f, BOTH), (k, f, WHOLE)] if n.trade else [(k, f, BARE)]
+            yield pd.DataFrame(rows, columns=["key", "form", "role"])
+
+    return every_pair(forms.select("form").mapInPandas(keyed, "key string, form string, role int"), _may)
 
 
 def clusters(entries: DataFrame, key: str, name: str, country: str | None = None) -> DataFrame:
