@@ -13,7 +13,7 @@ LEGAL = "llc llp ltd limited inc lnc incorporated corp corporation co company pv
 # Titles and forms of address.
 TITLES = "dr mr mrs ms miss smt shri sri prof mme mlle messrs".split()
 # Words that name no one.
-FILLERS = "the of and et de des du la le services service partners center centre group null none na".split()
+FILLERS = "the of and et de des du la le services service partners center centre group holding associes conseil compagnie fils freres null none na".split()
 # Words and short forms of trades, by trade.
 TRADES = {
     "furniture": "furniture furnitures furn", "hardware": "hardware hrdwr hdwe hdw", "pharmacy": "pharmacy pharm phcy pharmacie phie", "catering": "catering caterers cater ctrg",
@@ -53,7 +53,7 @@ _DOTTED_WIDE = re.compile(r"(?<![a-z0-9.])(?:[a-z0-9]\. ?){2,}(?![a-z0-9])")
 _PRIVATE = re.compile(r"\(p\)|\bp\.?\s+(?=l[t7]d|[l1]imited)")
 _SPACED = re.compile(r"(?<![a-z0-9])((?:[a-z] ){2,3}[a-z])(?![a-z0-9])")
 _ALIAS = re.compile(r"^(.+?)\s(?:d/b/a|dba|a/k/a|aka|f/k/a|fka|t/a|formerly(?: known as)?|trading as|doing business as|also known as|nee)[:\s]+(.+)$")
-_WEB = re.compile(r"(?:https?://)?(?:www\.)?([a-z0-9\-]+)\.(?:example|com|net|org|in|fr|co|biz|info)(?:\.[a-z]{2})?\b/?")
+_WEB = re.compile(r"(?:https?://)?(?:www\.)?([a-z0-9\-]+)\.{1,2}(?:[e3]xamp[l1][e3]|com|net|org|in|fr|co|biz|info)(?:\.[a-z]{2})?\b/?")
 # Devanagari letters and signs in Latin letters.
 _CONSONANTS = dict(zip("कखगघङचछजझञटठडढणतथदधनपफबभमयरलवशषसह", "k kh g gh n ch chh j jh n t th d dh n t th d dh n p f b bh m y r l v sh sh s h".split()))
 _VOWELS = dict(zip("अआइईउऊऋएऐऑओऔ", "a a i i u u ri e ai o o au".split()))
@@ -192,7 +192,8 @@ class NameReader:
         web = ""
         for part in text.split("|"):
             if (m := _WEB.search(part)) is not None:
-                web = web or m[1].replace("-", "")
+                label = m[1].replace("-", "")
+                web = web or (label if label.isdigit() else label.translate(_DIGITS))
         bare = _WEB.sub(" ", text)
         text = _DOTTED_WIDE.sub(_joined, _DOTTED.sub(_joined, _PRIVATE.sub(" ", bare)))
         text = _SPACED.sub(lambda m: m[1].replace(" ", "") if m[1].replace(" ", "") in _DROPPED else m[0], text)

@@ -69,11 +69,12 @@ def p6_matches(spark: SparkSession, folder: str, split: str = "test") -> DataFra
     columns = ["entity_id", *TEXTS, "country", "data_split"]
     records = _records(spark, folder, *columns).where(F.col("data_split") == split)
     entities = table(spark, folder, "source1").select(*columns).where(F.col("data_split") == split)
-    return matches(records, entities).select(F.col("sid").alias("source1_entity_id"), F.col("rid").alias("entity_id"), "confidence")
+    return matches(records, entities).select(F.col("sid").alias("source1_entity_id"), F.col("rid").alias("entity_id"), F.col("many").alias("n_alike"), "confidence")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_matches(spark, folder).where("confidence > 0.5").select("source1_entity_id", "entity_id")
+    # Of entities a record can't tell apart none gets more than its share, which is a half at most.
+    return p6_matches(spark, folder).where("confidence > 0.5 and n_alike = 1").select("source1_entity_id", "entity_id")
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
