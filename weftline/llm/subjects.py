@@ -6,9 +6,10 @@ fitted by expectation-maximisation on labelled documents, each sentence belongin
 the features of a subject are the share of its sentences among those with a subject, and the evidence for them.
 Source features: the label shares of the document's source, shrunk to the overall ones. Structure features: numbers of sentences with and without a subject.
 
-The chain asks one calibrated logistic model per subject, the commonest first, each seeing the labels given so far, so that subjects that occur together help or
-hinder each other. Weights are fitted on features from folds (a document's own labels never shape its term features) and shrunk towards the rule "a share
-of ``least_share`` or more", which few labels can't overturn. Beam search decodes the most probable combination of at most ``most_labels`` subjects.
+The chain asks one logistic model per subject, the commonest first. Each sees, beside the features of its subject, which subjects were given before, so that subjects that occur together help or
+hinder each other. All weights are learned: on features from folds (a document's own labels never shape its term features), first for all subjects together, then each subject's own around those. Hand
+labels are wrong now and then, so a label is taken as turned round with a probability that is estimated along (few wrong labels would otherwise flatten every slope). Beam search decodes the most
+probable combination of at most ``most_labels`` subjects.
 
 Fitted on at most ``max_labelled`` labelled documents, taken in the order of a hash of their key: the only bound. Every document is classified, over its whole
 text. Null, empty and blank texts get no subject. Repeated label rows count once. Without any labelled document there is no result row.
@@ -43,10 +44,10 @@ def sentences(text: str | None, fold: WordFolder) -> list[list[str]]:
 class Terms:
     """Log probabilities of terms by class; the last class is 'no subject'."""
 
-    def __init__(self, docs: list[list[list[str]]], labels: list[set[int]], classes: int, rounds: int = 12, smoothing: float = 40.0, max_terms: int = 150_000):
+    def __init__(self, docs: list[list[list[str]]], labels: list[set[int]], classes: int, rounds: int = 12, smoothing: float = 40.0):
         self.classes = classes
         seen = Counter(t for d in docs for s in d for t in set(s))
-        kept = [t for t, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n > 1][:max_terms]
+        kept = [t for t, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if n > 1]
         self.number = {t: i for i, t in enumerate(kept)}
         prior, ids, owner = [], [], []
         for d, own in zip(docs, labels):
@@ -71,8 +72,11 @@ class Terms:
             log = np.log(prior)
             for c in range(classes + 1):
                 log[:, c] += np.bincount(owner, weights=self.logp[ids, c], minlength=len(prior))
-            post = np.exp(log - log.max(axis=1, keepdims=True))
-            post /= post.sum(axis=1, keepdims=True)
+            new = np.exp(log - log.max(axis=1, keepdims=True))
+            new /= new.sum(axis=1, keepdims=True)
+            moved, post = np.abs(new - post).mean(), new
+            if moved < 2e-4:
+                break
         self.share = np.maximum(post.mean(axis=0), 1e-3)
 
     def weigh(self, doc: list[list[str]]) -> tuple[np.ndarray, int]:
@@ -95,24 +99,31 @@ class Terms:
 
 
 class Chain:
-    def __init__(self, order: list[int], weights: np.ndarray, sources: dict[str, np.ndarray], base: np.ndarray, least_share: float, most_labels: int):
-        self.order, self.weights, self.sources, self.base, self.least_share, self.most_labels = order, weights, sources, base, least_share, most_labels
+    """``weights``: a row per subject over its own features and one column per subject given before."""
 
-    def features(self, k: int, count: np.ndarray, none: int, source: str | None, given: list[int]) -> np.ndarray:
+    OWN = 8
+
+    def __init__(self, order: list[int], sources: dict[str, np.ndarray], base: np.ndarray, most_labels: int):
+        self.order, self.sources, self.base, self.most_labels = order, sources, base, most_labels
+        self.weights = np.zeros((len(order), self.OWN + len(order)))
+
+    def features(self, k: int, count: np.ndarray, none: int, known: np.ndarray, given: list[int]) -> np.ndarray:
+        """``known``: the label shares of the document's source."""
         total = count.sum()
         share = count[k] / total if total > 0 else 0.0
-        known = self.sources.get(source or "", self.base)[k]
-        largest = count.max() / total if total > 0 else 0.0
-        return np.array([1.0, share - self.least_share, min(count[k], 3.0) / 3, np.log(known) - np.log(self.base[k]), float(len(given) > 0), float(len(given) > 1), largest, np.log1p(none) / 3, float(total < 0.5)])
-
-    PRIOR = np.array([0.0, 60.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0, -4.0])
+        other = max((count[c] for c in range(len(count)) if c != k), default=0.0) / total if total > 0 else 0.0
+        out = np.zeros(self.OWN + len(count))
+        out[: self.OWN] = 1.0, 10 * share, np.log1p(total) / 3, np.log(known[k]) - np.log(self.base[k]), 3 * other, float(len(given) > 1), np.log1p(none) / 3, float(total < 0.5)
+        out[[self.OWN + g for g in given]] = 1.0
+        return out
 
     def decode(self, count: np.ndarray, none: int, source: str | None, width: int = 6) -> list[int]:
         beams: list[tuple[float, list[int]]] = [(0.0, [])]
+        known = self.sources.get(source or "", self.base)
         for k in self.order:
             nxt = []
             for score, given in beams:
-                z = float(self.features(k, count, none, source, given) @ self.weights[k])
+                z = float(self.features(k, count, none, known, given) @ self.weights[k])
                 yes, no = -np.logaddexp(0, -z), -np.logaddexp(0, z)
                 nxt.append((score + no, given))
                 if len(given) < self.most_labels:
@@ -121,23 +132,31 @@ class Chain:
         return sorted(beams[0][1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, mean: np.ndarray, strength: float, rounds: int = 25) -> np.ndarray:
-    """Newton steps of a logistic model with a normal prior around ``mean``."""
+def _logistic(x: np.ndarray, y: np.ndarray, mean: np.ndarray, strength: float, turned: float = 0.0, rounds: int = 60) -> np.ndarray:
+    """A logistic model with a normal prior around ``mean``, of labels of which a share ``turned`` is turned round: EM over the true labels, a Newton step each."""
     w = mean.copy()
     ridge = np.eye(len(mean)) * strength
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ (w - mean))
+        yes, no = np.where(y > 0.5, 1 - turned, turned) * p, np.where(y > 0.5, turned, 1 - turned) * (1 - p)
+        true = yes / np.maximum(yes + no, 1e-12)
+        step = np.linalg.solve((x * np.maximum(p * (1 - p), 1e-4)[:, None]).T @ x + ridge, x.T @ (true - p) - ridge @ (w - mean))
         w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-5:
             break
     return w
 
 
+def _turned(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """The share of labels against which the model is sure."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return float(np.clip(np.mean(np.where(y > 0.5, p < 0.05, p > 0.95)), 1e-4, 0.2))
+
+
 class SubjectModel:
     """``rows``: (text, translation, source, labels) of labelled documents."""
 
-    def __init__(self, rows: list[tuple[str | None, str | None, str | None, set[str]]], subjects: list[str], least_share: float = 0.305, most_labels: int = 2, folds: int = 4, strength: float = 100.0):
+    def __init__(self, rows: list[tuple[str | None, str | None, str | None, set[str]]], subjects: list[str], most_labels: int = 2, folds: int = 4, strength: float = 0.1, own_strength: float = 5.0):
         self.subjects, k = subjects, len(subjects)
         self.fold = WordFolder()
         own = [{subjects.index(s) for s in r[3] if s in subjects} for r in rows]
@@ -152,26 +171,34 @@ class SubjectModel:
         per: dict[str, list[int]] = defaultdict(list)
         for i, r in enumerate(rows):
             per[r[2] or ""].append(i)
-        sources = {s: (np.array([sum(c in own[i] for i in at) for c in range(k)]) + 20 * share) / (len(at) + 20) for s, at in per.items()}
+        held = {s: np.array([sum(c in own[i] for i in at) for c in range(k)]) for s, at in per.items()}
+        sources = {s: (n + 20 * share) / (len(per[s]) + 20) for s, n in held.items()}
         order = sorted(range(k), key=lambda c: (-share[c], subjects[c]))
-        self.chain = Chain(order, np.tile(Chain.PRIOR, (k, 1)), sources, share, least_share, most_labels)
-        if len(rows) < 4 * folds:
-            return
+        self.chain = Chain(order, sources, share, most_labels)
+        # A handful of labels makes as many folds as documents.
+        folds = max(1, min(folds, len(rows)))
         weighed: dict[int, tuple[np.ndarray, int]] = {}
         for f in range(folds):
-            terms = fit([i for i in range(len(rows)) if i % folds != f])
+            terms = fit([i for i in range(len(rows)) if i % folds != f] or [0])
             weighed |= {i: terms.weigh(texts[i]) for i in range(f, len(rows), folds)}
         xs, ys = defaultdict(list), defaultdict(list)
         for i, o in enumerate(own):
             given: list[int] = []
+            # Without the document's own labels.
+            source = rows[i][2] or ""
+            known = (held[source] - np.array([c in o for c in range(k)]) + 20 * share) / (len(per[source]) + 19)
             for c in order:
-                xs[c].append(self.chain.features(c, *weighed[i], rows[i][2], given))
+                xs[c].append(self.chain.features(c, *weighed[i], known, given))
                 ys[c].append(float(c in o))
                 given = [*given, c] if c in o else given
-        # All subjects share one model first; each subject's own is shrunk towards it.
-        shared = _logistic(np.array([x for c in order for x in xs[c]]), np.array([y for c in order for y in ys[c]]), Chain.PRIOR, strength)
+        # All subjects share one model first; each subject's own lies around it.
+        x, y = np.array([x for c in order for x in xs[c]]), np.array([y for c in order for y in ys[c]])
+        shared, turned = np.zeros(x.shape[1]), 0.02
+        for _ in range(3):
+            shared = _logistic(x, y, np.zeros(x.shape[1]), strength, turned)
+            turned = _turned(x, y, shared)
         for c in order:
-            self.chain.weights[c] = _logistic(np.array(xs[c]), np.array(ys[c]), shared, 10 * strength)
+            self.chain.weights[c] = _logistic(np.array(xs[c]), np.array(ys[c]), shared, own_strength, turned)
 
     def classify(self, text: str | None, source: str | None) -> list[str]:
         found = sentences(text, self.fold)
