@@ -9,9 +9,11 @@ Hamming distance; ``samples`` places of the walk form the key of a repeat, and e
 Windows with more than ``window_edits`` words that occur in no item are left out before the walk: no alignment within the edits could hold them.
 Which walks the repeats take depends on ``seed`` alone.
 
-A passage counts if some ``min_words`` neighbouring words of the item (or all of a shorter item) are in the text within one edit (word changed, dropped or added) per ``words_per_edit``
-words. A longer passage of at most that rate of edits always has such a stretch.
+A passage counts if a stretch of neighbouring words of the item (``min_words`` of them or more, in steps of ``words_per_edit``, or the whole item) is in the text within one edit (word changed,
+dropped or added) per ``words_per_edit`` words. Items of fewer than ``least_words`` words are never found: quotations that short don't count.
 
+Windows are of ``window`` words, not item-sized as in the method's usual form, because a part of an item counts too: a passage of 12 words with two edits holds a window of 8 with two at most, and item-sized windows
+would miss it. 
 Items are broadcast: they are a held-out set of fixed size, checked against ``max_item_words``. Null and empty texts hold nothing. Repeated rows of
 documents give equal rows. Long texts are walked in chunks of windows and aligned only near candidates.
 """
@@ -72,7 +74,7 @@ class Walks:
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[int, str]], window: int, window_edits: int, repeats: int, samples: int, min_words: int, words_per_edit: int, seed: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, window_edits: int, repeats: int, samples: int, min_words: int, words_per_edit: int, seed: int, least_words: int = 7):
         self.fold, self.window, self.window_edits = WordFolder(), window, window_edits
         self.min_words, self.words_per_edit = min_words, words_per_edit
         listed = [(k, self.fold.words(t)) for k, t in items]
@@ -80,7 +82,7 @@ class Matcher:
         for _, words in listed:
             for w in words:
                 self.number.setdefault(w, len(self.number) + 1)
-        self.items = [(k, np.array([self.number[w] for w in words], dtype=np.int32)) for k, words in listed if words]
+        self.items = [(k, np.array([self.number[w] for w in words], dtype=np.int32)) for k, words in listed if len(words) >= least_words]
         self.walks = Walks(len(self.number), window, repeats, samples, seed)
         grams, owner = [], []
         for at, (_, words) in enumerate(self.items):
@@ -152,11 +154,12 @@ class Matcher:
     def _align(self, doc: list[int], item: list[int]) -> tuple[int, int, int] | None:
         """Of a text that counts the best local alignment at match 2, edit -3: (item words spanned, edits, first word)."""
         n = len(item)
-        need = min(self.min_words, n)
-        most = need // self.words_per_edit
-        if (Counter(doc) & Counter(item)).total() < need - most:
+        least, step = min(self.min_words, n), self.words_per_edit
+        if (Counter(doc) & Counter(item)).total() < least - least // step:
             return None
-        if not any(holds(doc, item[a : a + need], most) for a in range(n - need + 1)):
+        # A stretch of more words may hold more edits, and not every part of it within its own share of them.
+        stretches = sorted({*range(least, n + 1, step), n})
+        if not any(holds(doc, item[a : a + m], m // step) for m in stretches for a in range(n - m + 1)):
             return None
         # A cell: score, item words spanned, edits, first document word.
         zero = (0, 0, 0, 0)

@@ -3,12 +3,13 @@
 1. Compatibility normalisation (NFKC) folds width forms, joined letters and ways to store an accent.
 2. Ignorable characters (format controls, soft hyphens, variation selectors) are deleted, hyphens of the same shape become
    ``-``, runs of blanks of any kind become one space, outer blanks go.
-3. Each token with letters is read as a lattice: at every place the letters that share the shape of the stored one. Viterbi picks
-   the path with the best character bigram score, a change of script inside a token costing ``switch``.
+3. Each token with letters is read as a lattice: at every place the letters that share the shape of the stored one, and for letters
+   that look alike in some faces only (Greek alpha and a, Cyrillic te and t) the Latin letter at the price ``loose``. Viterbi picks
+   the path with the best character bigram score, a change of script inside a token costing ``switch``. So "P\u03b1rk" becomes "Park", as
+   its other letters have no Greek reading, and a Greek or Russian word keeps its letters.
 
 The lattice is built from shape classes, never from the stored letters. Tokens of equal look therefore have equal lattices and
-equal results, and since a path stays inside its classes, tokens of different look keep different results. Case, accents and
-ASCII digits for letters are part of the look.
+equal results; letters that differ in every face never meet in a class. Case, accents and ASCII digits for letters are part of the look.
 
 Bigram counts come from the tokens written in one script, over the whole input; a table of them is bounded by the alphabets
 (``max_bigrams`` is a check of that bound, not a cut: crossing it fails). Results: null stays null, blank text becomes ''.
@@ -21,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Letters of other scripts with the shape of a Latin letter, by Latin letter (Unicode confusables).
@@ -32,7 +33,7 @@ SHAPES = {
     "o": "οоօ", "p": "ρр", "q": "ԛզ", "r": "г", "s": "ѕ", "t": "т", "u": "υս", "v": "νѵ", "w": "ԝա", "x": "хχ", "y": "уүγ", "z": "ᴢ",
     "æ": "ӕ", "Æ": "Ӕ", "ə": "ә",
 }
-# Shapes that are alike only in some faces: they take part in comparisons of passages, not in the consistent form.
+# Shapes that are alike only in some faces: the context decides whether they stand for a Latin letter.
 _LOOSE = set("αιɩгмтκզγνυЬρſ")
 # Characters with the shape of a hyphen.
 HYPHENS = "‐‑‒﹣⁃˗−－"
@@ -99,14 +100,14 @@ def single_script_bigrams(text: str) -> Iterator[str]:
 class Reader:
     """Viterbi over look-alike lattices under given bigram counts; remembers tokens, up to a bound."""
 
-    def __init__(self, counts: dict[str, int], switch: float = 12.0):
+    def __init__(self, counts: dict[str, int], switch: float = 12.0, loose: float = 10.0):
         first: dict[str, int] = {}
         for pair, n in counts.items():
             first[pair[0]] = first.get(pair[0], 0) + n
         self.cost = {p: -math.log((n + 0.5) / (first[p[0]] + 500.0)) for p, n in counts.items()}
         self.unseen = {c: -math.log(0.5 / (n + 500.0)) for c, n in first.items()}
         self.worst = -math.log(0.5 / 500.0)
-        self.switch = switch
+        self.switch, self.loose = switch, loose
         self.known: dict[str, str] = {}
 
     def _step(self, a: str, b: str) -> float:
@@ -126,11 +127,13 @@ class Reader:
         paths: dict[tuple[str, str], tuple[float, str]] = {(" ", ""): (0.0, "")}
         for ch in shape:
             nxt: dict[tuple[str, str], tuple[float, str]] = {}
-            for letter in _CLASSES.get(ch, (ch,)):
+            latin = LOOSE.get(ch) if ch in _LOOSE else None
+            for letter in (*_CLASSES.get(ch, (ch,)), *((latin,) if latin else ())):
                 s = script(letter)
+                price = self.loose if letter == latin else 0.0
                 best: dict[str, tuple[float, str]] = {}
                 for (prev, had), (cost, path) in paths.items():
-                    c = cost + self._step(prev, letter) + (self.switch if s and had and s != had else 0.0) + (self.switch if s == "P" else 0.0)
+                    c = cost + price + self._step(prev, letter) + (self.switch if s and had and s != had else 0.0) + (self.switch if s == "P" else 0.0)
                     to = s or had
                     if to not in best or (c, path) < best[to]:
                         best[to] = (c, path)
@@ -215,11 +218,3 @@ def _latinised(text: str) -> str:
         rest = {script(c) for c in mapped} - {"", "L"}
         out.append(token if rest else mapped)
     return " ".join(out)
-
-
-def fold_column(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def fold(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: None if t is None else folded(t))
-
-    return fold(text)

@@ -1,8 +1,8 @@
 """Encoding of a corpus by a public byte-level BPE, with tiktoken and a local rank file.
 
-Texts longer than ``piece_chars`` are cut where the splitting pattern itself must cut, so that ids are those of the whole text: after a line
-break that stands before a letter, or between a letter or digit and a space that stands before a letter. The ids of the
-pieces follow each other. Decoding joins the raw bytes of all ids before they are read as UTF-8, as one character may span ids.
+Texts longer than ``piece_chars`` are cut where the splitting pattern itself must cut, so that ids are those of the whole text: before a single
+space between two other characters, after a single line break or tab between two, and between a letter, a digit and any other sign that follow each other (not after an apostrophe, which
+may begin a short form). An unbroken run of letters, digits or signs is one unit of the pattern and is never cut. The ids of the pieces follow each other. Decoding joins the raw bytes of all ids before they are read as UTF-8, as one character may span ids.
 
 Null and empty texts give the empty list; blank texts are ordinary texts. Special tokens' strings are ordinary text.
 The rank file is read on the driver and broadcast: its size is fixed by the vocabulary (below 1 MB here), and checked.
@@ -23,8 +23,8 @@ DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MAX_RANK_BYTES = 64 * 1024 * 1024
 # Fixed value: the splitting pattern published with the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Between a letter or digit and a single space before a letter every alternative of the pattern ends.
-_SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= \p{L})")
+# Places where every alternative of the pattern ends, whatever stands further on, and where a text that ends there ends the same way.
+_SAFE = regex.compile(r"(?<=\S)(?= \S)|(?<=\S[^\S ])(?=\S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def safe_pieces(text: str, piece_chars: int) -> Iterator[str]:
