@@ -21,8 +21,8 @@ def p5_delimiters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "candidate_pairs").select("c0", "c1", "country", "comb")
-    return hot_keys(rows, ["c0", "country"], "c1", "comb", 0.03).select("key_column", "key_value")
+    rows = table(spark, folder, "candidate_pairs").select("c0", "country", "comb")
+    return hot_keys(rows, ["c0", "country"], "comb", 0.03).select("key_column", "key_value")
 
 
 def p7_totals(spark: SparkSession, folder: str) -> DataFrame:

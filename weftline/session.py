@@ -23,11 +23,13 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder the cluster names; only a session without one gets a folder of its own."""
+    """Use the shared folder the cluster names. A session on one machine without one, as in tests, gets a temporary folder; on a cluster that would be machine-local, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named and context.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
 
 
