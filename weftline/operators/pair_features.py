@@ -40,8 +40,8 @@ def unseen_share(weights: Column) -> dict[str, Column]:
 
 
 def number_features(q: Column, s: Column) -> dict[str, Column]:
-    """House numbers of q against the first of s. -1 unless both sides have numbers; counts excepted. Repeated numbers count each time."""
-    as_long = lambda xs: F.transform(xs, lambda n: F.substring(n, 1, 12).cast("long"))
+    """House numbers of q against the first of s. -1 unless both sides have numbers; counts excepted. Repeated numbers count each time. Of numbers beyond 64-bit integers the leading 18 digits count."""
+    as_long = lambda xs: F.transform(xs, lambda n: F.substring(n, 1, 18).cast("long"))
     qn, sn = as_long(q), as_long(s)
     both = (F.size(q) > 0) & (F.size(s) > 0)
     first = F.try_element_at(sn, F.lit(1))
@@ -53,10 +53,12 @@ def number_features(q: Column, s: Column) -> dict[str, Column]:
         "num_s0_in_q": when(F.array_contains(qn, first).cast("int")),
         "num_first_eq": when((F.try_element_at(qn, F.lit(1)) == first).cast("int")),
         "num_best_ed": when(F.array_min(F.transform(qn, lambda n: F.levenshtein(n.cast("string"), text)))),
+        "num_best_rel": F.when(both, F.round(F.array_min(F.transform(qn, lambda n: F.abs(n - first) / F.greatest(F.lit(1.0), first.cast("double")))), 6)).otherwise(-1.0),
+        "num_first_abs": F.when(both, F.round(F.log1p(F.abs(F.try_element_at(qn, F.lit(1)) - first).cast("double")), 6)).otherwise(-1.0),
         "num_min_diff": F.when(both, F.round(F.log1p(F.array_min(F.transform(qn, lambda n: F.abs(n - first))).cast("double")), 6)).otherwise(-1.0),
         "num_prefix": when(F.exists(qn, lambda n: (n != first) & (text.startswith(n.cast("string")) | n.cast("string").startswith(text))).cast("int")),
         "num_jacc": F.when(both, F.round(met / (F.size(q) + F.size(s) - met), 6)).otherwise(-1.0),
-        "num_len_diff": F.when(both, F.length(F.try_element_at(qn, F.lit(1)).cast("string")) - F.length(text)).otherwise(-1),
+        "num_len_diff": F.when(both, F.length(text) - F.length(F.try_element_at(qn, F.lit(1)).cast("string"))).otherwise(-1),
     }
 
 

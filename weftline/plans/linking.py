@@ -141,8 +141,11 @@ _PAIRS = """pairs AS (SELECT c1 AS q, c0 AS s, max(sc_nw)::DOUBLE AS sc_nw, max(
 _TRUTH = f"listed AS ({TRAINING_SQL['p5_found']}), truth AS (SELECT DISTINCT entity_id AS q, source1_entity_id AS s FROM listed)"
 _SIDES = """sides AS (SELECT p.*, a.nw AS q_nw, a.nums AS q_nums, a.ad AS q_ad, b.country, b.data_split, b.nw AS s_nw, b.nums AS s_nums, b.ad AS s_ad,
  CASE WHEN b.data_split = 'train' THEN CASE WHEN t.q IS NULL THEN 0 ELSE 1 END END AS y
- FROM pairs p JOIN simple a ON a.id = p.q AND a.src > 1 JOIN simple b ON b.id = p.s AND b.src = 1 LEFT JOIN truth t ON t.q = p.q AND t.s = p.s)"""
-_ALL = f"WITH {_RECORDS}, {_SIMPLE}, {_PAIRS}, {_TRUTH}, {_SIDES}"
+ FROM pairs p JOIN simple a ON a.id = p.q AND a.src > 1 JOIN simple b ON b.id = p.s AND b.src <= 1 LEFT JOIN truth t ON t.q = p.q AND t.s = p.s)"""
+_WITH_HEADS = _RECORDS[:-1] + """
+UNION ALL SELECT DISTINCT CAST(0 AS TINYINT), entity_id, business_name, business_address, country, CAST(NULL AS VARCHAR) FROM chain_heads)"""
+_ENTITIES = "(SELECT DISTINCT entity_id, country FROM source1 UNION SELECT DISTINCT entity_id, country FROM chain_heads)"
+_ALL = f"WITH {_WITH_HEADS}, {_SIMPLE}, {_PAIRS}, {_TRUTH}, {_SIDES}"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

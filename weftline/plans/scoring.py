@@ -15,7 +15,8 @@ from weftline.operators import pair_features as P
 from weftline.operators import risk as R
 from weftline.operators.sampling import sample_keys, sample_rows
 from weftline.operators.transliteration import learn
-from weftline.plans.linking import _ALL, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _quoted, entities, pairs, records, sides, simple, simple_form, truth, with_heads
+from weftline.plans.linking import SQL as PARTS_SQL
+from weftline.plans.linking import _ALL, _ENTITIES, _PAIRS, _RECORDS, _SIMPLE, _TRUTH, _WITH_HEADS, _quoted, entities, pairs, records, sides, simple, simple_form, truth, with_heads
 from weftline.session import cut
 from weftline.sources.tables import table
 
@@ -66,7 +67,7 @@ def weighted_sides(spark, folder):
     return met.withColumns({"q_w": F.coalesce("q_w", empty), "s_w": F.coalesce("s_w", empty)})
 
 
-@query(f"""{_ALL}, {_WEIGHTS}, qt AS (SELECT d.q, d.s, w.t, w.idf, w.df FROM sides d JOIN wt w ON w.id = d.q AND w.src > 1), st AS (SELECT d.q, d.s, w.t, w.idf FROM sides d JOIN wt w ON w.id = d.s AND w.src = 1),
+@query(f"""{_ALL}, {_WEIGHTS}, qt AS (SELECT d.q, d.s, w.t, w.idf, w.df FROM sides d JOIN wt w ON w.id = d.q AND w.src > 1), st AS (SELECT d.q, d.s, w.t, w.idf FROM sides d JOIN wt w ON w.id = d.s AND w.src <= 1),
 fo AS (SELECT coalesce(a.q, b.q) AS q, coalesce(a.s, b.s) AS s, a.idf AS qi, b.idf AS si FROM qt a FULL JOIN st b ON a.q = b.q AND a.s = b.s AND a.t = b.t),
 g AS (SELECT q, s, sum(CASE WHEN si IS NOT NULL THEN qi END) AS mass, sum(qi) AS qm, sum(si) AS sm, count(CASE WHEN si IS NOT NULL THEN qi END) AS shared, count(qi) AS ql, count(si) AS sl, max(CASE WHEN si IS NULL THEN qi END) AS me, max(CASE WHEN qi IS NULL THEN si END) AS mm FROM fo GROUP BY q, s)
 SELECT d.q, d.s, CASE WHEN ql > 0 AND sl > 0 THEN round(coalesce(mass, 0.0) / qm, 6) ELSE -1.0 END AS nm_q_cover, CASE WHEN ql > 0 AND sl > 0 THEN round(coalesce(mass, 0.0) / sm, 6) ELSE -1.0 END AS nm_s_cover, round(coalesce(mass, 0.0), 6) AS nm_mass, CAST(coalesce(shared, 0) AS INT) AS nm_shared,
@@ -86,15 +87,17 @@ def out_of_vocabulary(spark, folder):
     return met.select("id", *[c.alias(n) for n, c in P.unseen_share(F.col("w")).items()])
 
 
-_QL, _SL = "list_transform(q_nums, lambda n: CAST(substring(n, 1, 12) AS BIGINT))", "list_transform(s_nums, lambda n: CAST(substring(n, 1, 12) AS BIGINT))"
+_QL, _SL = "list_transform(q_nums, lambda n: CAST(substring(n, 1, 18) AS BIGINT))", "list_transform(s_nums, lambda n: CAST(substring(n, 1, 18) AS BIGINT))"
+_LEN = "length(CAST({} AS VARCHAR))"
 
 
 @query(f"""{_ALL}, n AS (SELECT q, s, {_QL} AS qn, {_SL} AS sn, len(q_nums) AS a, len(s_nums) AS b FROM sides), m AS (SELECT *, a > 0 AND b > 0 AS ok, sn[1] AS f, len(list_filter(sn, lambda x: list_contains(qn, x))) AS met FROM n)
 SELECT q, s, CAST(a AS INT) AS num_q, CAST(b AS INT) AS num_s, CASE WHEN ok THEN CAST(list_contains(qn, f) AS INT) ELSE -1 END AS num_s0_in_q, CASE WHEN ok THEN CAST(qn[1] = f AS INT) ELSE -1 END AS num_first_eq,
 CAST(CASE WHEN ok THEN list_min(list_transform(qn, lambda x: levenshtein(CAST(x AS VARCHAR), CAST(f AS VARCHAR)))) ELSE -1 END AS INT) AS num_best_ed,
-CASE WHEN ok THEN round(ln(1.0 + list_min(list_transform(qn, lambda x: abs(x - f)))), 6) ELSE -1.0 END AS num_min_diff,
+CASE WHEN ok THEN round(list_min(list_transform(qn, lambda x: abs(x - f) / greatest(1.0::DOUBLE, f::DOUBLE))), 6) ELSE -1.0 END AS num_best_rel,
+CASE WHEN ok THEN round(ln(1.0::DOUBLE + list_min(list_transform(qn, lambda x: abs(x - f)))), 6) ELSE -1.0 END AS num_min_diff, CASE WHEN ok THEN round(ln(1.0::DOUBLE + abs(qn[1] - f)), 6) ELSE -1.0 END AS num_first_abs,
 CASE WHEN ok THEN CAST(len(list_filter(qn, lambda x: x <> f AND (starts_with(CAST(f AS VARCHAR), CAST(x AS VARCHAR)) OR starts_with(CAST(x AS VARCHAR), CAST(f AS VARCHAR))))) > 0 AS INT) ELSE -1 END AS num_prefix,
-CASE WHEN ok THEN round(met / (a + b - met), 6) ELSE -1.0 END AS num_jacc, CAST(CASE WHEN ok THEN length(CAST(qn[1] AS VARCHAR)) - length(CAST(f AS VARCHAR)) ELSE -1 END AS INT) AS num_len_diff FROM m""")
+CASE WHEN ok THEN round(met / (a + b - met), 6) ELSE -1.0 END AS num_jacc, CAST(CASE WHEN ok THEN {_LEN.format('f')} - {_LEN.format('qn[1]')} ELSE -1 END AS INT) AS num_len_diff FROM m""")
 def number_features(spark, folder):
     return sides(spark, folder).select("q", "s", *[c.alias(n) for n, c in P.number_features(F.col("q_nums"), F.col("s_nums")).items()])
 
@@ -117,7 +120,7 @@ def legal_relation(spark, folder):
     return _legal(spark, folder).select("q", "s", "lq", "ls", "relation")
 
 
-_NAMES = f"""WITH {_RECORDS}, {_PAIRS}, nm AS (SELECT p.q, p.s, lower(coalesce(a.business_name, '')) AS a, lower(coalesce(b.business_name, '')) AS b FROM pairs p JOIN records a ON a.entity_id = p.q AND a.src > 1 JOIN records b ON b.entity_id = p.s AND b.src = 1)"""
+_NAMES = f"""WITH {_WITH_HEADS}, {_PAIRS}, nm AS (SELECT p.q, p.s, lower(coalesce(a.business_name, '')) AS a, lower(coalesce(b.business_name, '')) AS b FROM pairs p JOIN records a ON a.entity_id = p.q AND a.src > 1 JOIN records b ON b.entity_id = p.s AND b.src <= 1)"""
 
 
 def _names(spark, folder):
@@ -259,7 +262,7 @@ def threshold_sweep(spark, folder):
     return M.threshold_sweep(pred, true, ent, _THR)
 
 
-@query(f"""WITH {_PAIRS}, {_BEST}, l AS (SELECT s, list_sort(list(p)) AS ps, count(*) AS n FROM best GROUP BY s HAVING count(*) <= 12)
+@query(f"""WITH {_PAIRS}, {_BEST}, l AS (SELECT s, list_sort(list(p)) AS ps, count(*) AS n FROM best GROUP BY s)
 SELECT s, CAST(n AS BIGINT) AS n, round(list_reduce(list_prepend(CAST(1.0 AS DOUBLE), ps), lambda a, x: a * (1 - x)), 6) AS p_none, round(list_sum(ps), 6) AS mean FROM l""")
 def poisson_binomial(spark, folder):
     """Per entity the chance that none of its queries belongs to it and the expected number, whatever its size: products and sums, no list of its pairs."""
@@ -279,7 +282,7 @@ def logit_mean(spark, folder):
     return every.groupBy("q", "s").agg(F.round(D.logit_mean(F.col("p")), 6).alias("p"), F.round(F.avg("p"), 6).alias("p_mean"))
 
 
-@query(f"""WITH {_PAIRS}, e AS (SELECT DISTINCT entity_id AS s, country FROM source1) SELECT p.q, p.s, country, round(CASE WHEN country = 'France' THEN sc_nc ELSE p.p END, 6) AS p FROM pairs p JOIN e ON e.s = p.s""")
+@query(f"""WITH {_PAIRS}, e AS (SELECT entity_id AS s, country FROM {_ENTITIES}) SELECT p.q, p.s, country, round(CASE WHEN country = 'France' THEN sc_nc ELSE p.p END, 6) AS p FROM pairs p JOIN e ON e.s = p.s""")
 def merge_preds(spark, folder):
     every = pairs(spark, folder).join(entities(spark, folder).select(F.col("entity_id").alias("s"), "country"), "s")
     out = D.merge_by_country(every.select("q", "s", "country", "p"), every.select("q", "s", F.col("sc_nc").alias("p")), "country", "France")
@@ -293,21 +296,47 @@ def combine_rounds(spark, folder):
     return out.select("q", "s", F.round("p", 6).alias("p"))
 
 
-# Words that noisy records add to a name.
-NOISE_WORDS = "services partners center centre group holding associes conseil compagnie".split()
-_EXC = "list_filter({a}, lambda t: NOT list_contains({b}, t))"
-_XA, _XB = _EXC.format(a="q_ad", b="s_ad"), _EXC.format(a="s_ad", b="q_ad")
-
-
-@query(f"""{_ALL}, r AS (SELECT q, s, p, len({_XA}) AS xa, len({_XB}) AS xb, coalesce(({_XA})[1], '') AS wa, coalesce(({_XB})[1], '') AS wb, {_EXC.format(a='q_nw', b='s_nw')} AS ex, len({_EXC.format(a='s_nw', b='q_nw')}) AS mi FROM sides)
-SELECT q, s, (xa = 0 OR xb = 0 OR (xa = 1 AND xb = 1 AND levenshtein(wa, wb) <= 1)) AS close, (len(ex) >= 1 AND len(list_filter(ex, lambda t: t NOT IN ({_quoted(NOISE_WORDS)}))) = 0 AND mi <= 1) AS noise,
-round(CASE WHEN (xa = 0 OR xb = 0 OR (xa = 1 AND xb = 1 AND levenshtein(wa, wb) <= 1)) AND (len(ex) >= 1 AND len(list_filter(ex, lambda t: t NOT IN ({_quoted(NOISE_WORDS)}))) = 0 AND mi <= 1) THEN greatest(p, 0.97 + 0.02 * p) ELSE p END, 6) AS p FROM r""")
+def full_parts(r):
+    """``r`` with the normalised parts of name and address."""
+    named = N.with_name_parts(r, N.fold_latin(F.col("business_name")), F.col("business_name"))
+    return N.with_address_parts(named, N.fold_latin(N.number_marks(F.coalesce("business_address", F.lit("")))), F.col("country"))
+
+
+_LIST = "list_filter(string_split({}, ' '), lambda t: t <> '')"
+_NOISE = _quoted([*D.NOISE_FRENCH, *D.NOISE_OTHER])
+_SWAP = [w for w in D.NOISE_FRENCH if w not in D.NOISE_NOT_SWAPPED]
+_OK = "(len(ex) > 0 AND ((len(mi) = 0 AND len(list_filter(ex, lambda t: t NOT IN ({0}))) = 0 AND len(list_filter(ex, lambda t: t IN ({1}))) > 0) OR (len(mi) = 1 AND len(list_filter(ex, lambda t: t NOT IN ({2}))) = 0 AND len(list_filter(ex, lambda t: t IN ({3}))) > 0)))".format(
+    _NOISE, _quoted(D.NOISE_FRENCH), _quoted([*_SWAP, *D.NOISE_OTHER]), _quoted(_SWAP))
+_MINUS = "list_filter({0}, lambda t: NOT list_contains({1}, t))"
+_SQL_SIM = "len(list_filter(xa, lambda u: length(u) >= 4 AND len(list_filter(xb, lambda v: length(v) >= 4 AND 1.0::DOUBLE - levenshtein(u, v)::DOUBLE / greatest(length(u), length(v)) >= 0.7)) > 0)) > 0"
+
+
+@query(f"""WITH {_WITH_HEADS}, {_PAIRS}, np AS ({PARTS_SQL['name_parts'].replace(_RECORDS, _WITH_HEADS)}), ap AS ({PARTS_SQL['address_parts'].replace(_RECORDS, _WITH_HEADS)}),
+rec AS (SELECT r.entity_id AS id, r.src, r.country, {_LIST.format('n_core')} AS core, {_legal_sql(_LIST.format('n_toks'))} AS legal, {_LIST.format('a_toks')} AS words, coalesce(({_LIST.format('a_nums')})[1], '') AS num
+ FROM records r JOIN (SELECT DISTINCT entity_id, n_toks, n_core FROM np) np ON np.entity_id = r.entity_id JOIN (SELECT DISTINCT entity_id, a_toks, a_nums FROM ap) ap ON ap.entity_id = r.entity_id),
+generic AS (SELECT t FROM (SELECT id, unnest(list_distinct(words)) AS t FROM rec WHERE src = 1 AND country = 'France') GROUP BY t HAVING count(*) > 1500),
+m AS (SELECT p.q, p.s, p.p, {_MINUS.format('a.core', 'b.core')} AS ex, {_MINUS.format('b.core', 'a.core')} AS mi, list_distinct(list_transform(a.words, lambda t: CASE WHEN t = 'b' THEN 'bis' ELSE t END)) AS aw,
+ list_distinct(list_transform(b.words, lambda t: CASE WHEN t = 'b' THEN 'bis' ELSE t END)) AS bw, list_filter(a.words, lambda t: list_contains(b.words, t)) AS shared,
+ a.country = 'France' AND len(a.words) > 0 AND len(b.words) > 0 AND a.num <> '' AND a.num = b.num AND (a.legal = 0 OR b.legal = 0 OR a.legal = b.legal) AS fits
+ FROM pairs p JOIN rec a ON a.id = p.q AND a.src > 1 JOIN rec b ON b.id = p.s AND b.src <= 1),
+k AS (SELECT *, list_distinct(ex) AS dx, {_MINUS.format('aw', 'bw')} AS xa, {_MINUS.format('bw', 'aw')} AS xb FROM m),
+n AS (SELECT *, coalesce(fits, FALSE) AND {_OK.replace('len(mi)', 'len(list_distinct(mi))')} AND (len(xa) = 0 OR len(xb) = 0 OR (least(len(xa), len(xb)) = 1 AND greatest(len(xa), len(xb)) <= 3 AND {_SQL_SIM}))
+ AND ((len(xa) = 0 AND len(xb) = 0) OR len(list_filter(shared, lambda t: NOT list_contains(gl, t))) > 0) AS rule FROM k CROSS JOIN (SELECT coalesce(list(t), []) AS gl FROM generic)),
+o AS (SELECT *, rule AND count_if(rule) OVER (PARTITION BY q) = 1 AS noise FROM n)
+SELECT q, s, noise, round(CASE WHEN noise THEN greatest(p, 0.97 + 0.02 * p) ELSE p END, 6) AS p FROM o""")
 def noise_rule(spark, folder):
-    d = sides(spark, folder).withColumns({"close": D.address_close(F.col("q_ad"), F.col("s_ad")), "noise": D.noise_words_only(F.col("q_nw"), F.col("s_nw"), NOISE_WORDS)})
-    return d.select("q", "s", "close", "noise", F.round(D.noise_floor(F.col("p"), F.col("close") & F.col("noise")), 6).alias("p"))
-
-
-@query(f"WITH {_PAIRS}, e AS (SELECT DISTINCT entity_id AS s, country FROM source1) SELECT q, p.s, rk FROM pairs p JOIN e ON e.s = p.s WHERE p.p >= 0.5 OR rk < 3 OR (country NOT IN ('US', 'India') AND (rk < 7 OR rk = 99))")
+    """Pairs of France that differ by noise words only, lifted; over all candidate pairs."""
+    parts = cut(full_parts(with_heads(spark, folder).select("src", "entity_id", "country", "business_name", "business_address")).select(
+        "src", F.col("entity_id").alias("id"), "country", F.col("n_core").alias("core"), P.legal_code(F.col("n_toks")).alias("legal"), F.col("a_toks").alias("words"), F.coalesce(F.try_element_at("a_nums", F.lit(1)), F.lit("")).alias("number")))
+    generic = parts.where("src = 1 and country = 'France'").select("id", F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 1500")
+    side = lambda where, name: parts.where(where).select(F.col("id").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("country", "core", "legal", "words", "number")])
+    met = cut(pairs(spark, folder).select("q", "s", "p").join(side("src > 1", "q"), "q").join(side("src <= 1", "s"), "s"))
+    rule = D.noise_pairs(met, generic).withColumn("noise", F.lit(True))
+    out = met.select("q", "s", "p").join(rule, ["q", "s"], "left").withColumn("noise", F.coalesce("noise", F.lit(False)))
+    return out.select("q", "s", "noise", F.round(D.noise_floor(F.col("p"), F.col("noise")), 6).alias("p"))
+
+
+@query(f"WITH {_PAIRS}, e AS (SELECT entity_id AS s, country FROM {_ENTITIES}) SELECT q, p.s, rk FROM pairs p JOIN e ON e.s = p.s WHERE p.p >= 0.5 OR rk < 3 OR (country NOT IN ('US', 'India') AND (rk < 7 OR rk = 99))")
 def stage0_prune(spark, folder):
     every = pairs(spark, folder).join(entities(spark, folder).select(F.col("entity_id").alias("s"), "country"), "s")
     return G.prune(every, "p", "rk", F.col("country").isin("US", "India"), least=0.5).select("q", "s", "rk")
