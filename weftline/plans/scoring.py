@@ -269,7 +269,17 @@ def poisson_binomial(spark, folder):
     return D.none_and_mean(_best(spark, folder), "s").select("s", "n", F.round("p_none", 6).alias("p_none"), F.round("mean", 6).alias("mean"))
 
 
-@query()
+# The distribution of a list of p, one trial a step.
+_PMF = "list_reduce(list_prepend([1.0::DOUBLE], list_transform({0}, lambda z: [z])), lambda f, x: list_transform(range(1, len(f) + 2), lambda i: coalesce(f[i], 0.0) * (1 - x[1]) + CASE WHEN i > 1 THEN f[i - 1] ELSE 0.0 END * x[1]))"
+
+
+@query(f"""WITH {_PAIRS}, {_BEST}, live AS (SELECT s, q, p, count(*) OVER (PARTITION BY s) AS n, row_number() OVER (PARTITION BY s ORDER BY p DESC, q) AS r FROM best WHERE p >= 0.05),
+g AS (SELECT s, list(p ORDER BY p DESC) AS ps, CAST(any_value(n) AS INT) AS n FROM live WHERE n <= 40 GROUP BY s), ks AS (SELECT s, ps, n, unnest(range(1, n + 1)) AS k FROM g),
+d AS (SELECT s, n, k, {_PMF.format('ps[1:k]')} AS fx, {_PMF.format('ps[k + 1:]')} AS fy FROM ks),
+v AS (SELECT s, k, list_sum(list_transform(range(1, k + 1), lambda h: list_sum(list_transform(range(0, n - k + 1), lambda m: fx[h + 1] * fy[m + 1] * 1.25 * h / (0.25 * (h + m) + k))))) AS value FROM d
+ UNION ALL SELECT s, 0, list_product(list_transform(ps, lambda z: 1 - z)) FROM g),
+b AS (SELECT s, k FROM v QUALIFY row_number() OVER (PARTITION BY s ORDER BY round(value, 11) DESC, k) = 1)
+SELECT live.q, live.s, round(live.p, 6) AS p FROM live LEFT JOIN b ON b.s = live.s WHERE CASE WHEN n <= 40 THEN r <= b.k ELSE live.p >= 0.5 END""")
 def expected_f_keep(spark, folder):
     return D.expected_f_keep(_best(spark, folder)).select("q", "s", F.round("p", 6).alias("p"))
 
