@@ -26,6 +26,17 @@ def test_script_follows_the_letters_that_leave_no_choice():
     assert reader.text("соре") == reader.text("cope") == "cope"
 
 
+def test_context_reads_letters_that_look_alike_in_some_faces(spark):
+    """No class of shapes holds Greek alpha and a: the letters around decide, and a word that is Greek or Russian throughout stays."""
+    words = ["Park", "Pacific", "Oak", "market", "trade", "рынок", "тот", "там", "нет", "Αθήνα", "ανατολή", "τάση"]
+    rows = [(f"k{i}", w) for i, w in enumerate(words * 4)] + [("x", "Pαcific Pαrk"), ("y", "Pacific Park"), ("z", "тот"), ("w", "tot")]
+    df = spark.createDataFrame(rows, "entity_id string, n string")
+    forms = {r["entity_id"]: r["n_form"] for r in consistent(df, ["n"]).collect()}
+    assert forms["x"] == forms["y"] == "Pacific Park" and forms["z"] != forms["w"] == "tot" and shape_of("Pαcific") != shape_of("Pacific")
+    got = {tuple(r) for r in alike_pairs(df, "entity_id", ["n"], "a", "b").collect()}
+    assert ("x", "y") in got and ("w", "z") not in got
+
+
 def test_forms_and_pairs(spark):
     rows = [("a", "Oak Ltd", "1 Elm"), ("b", "Оаk Ltd", "1 Elm"), ("c", "Oak Ltd", "1 Elm"), ("c", "Oak Ltd", "1 Elm"), ("d", "oak Ltd", "1 Elm"), ("e", None, "1 Elm"), ("f", "", ""), ("g", "Оаk Ltd", " "), (None, "Oak  Ltd", "1 Elm")]
     df = spark.createDataFrame(rows, "entity_id string, n string, a string")
@@ -50,10 +61,18 @@ def test_encoding_round_trip_and_reference_library(spark):
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
 
 
-def test_cuts_stand_between_words():
-    text = "ab cd, ef gh " * 50
-    pieces = list(safe_pieces(text, 20))
-    assert "".join(pieces) == text and all(p[0] == " " for p in pieces[1:])
+def test_cuts_give_the_ids_of_the_whole_text():
+    from weftline.llm import tokenizer as T
+
+    with open(DEFAULT_RANKS, "rb") as f:
+        enc = T._encoding(f.read(), T.PATTERN)
+    rng = random.Random(0)
+    signs = ["a", "b", " ", "  ", "\n", "\t", "'", "'s", "'ll", "。", "字", "1", "２", ".", "-", "é", "\u0301", "😀", "\u00a0", "ab", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(2, 40)))
+        assert [i for p in safe_pieces(text, 1) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+    for text in ("。\nab" * 50_000, "日本語の文章です。" * 20_000, "word " * 50_000):
+        assert len(list(safe_pieces(text, 20_000))) > 4 and "".join(safe_pieces(text, 20_000)) == text
 
 
 ITEM = "Around 1850 Beraquist and Vidaidovny overturned 7522 contracts beside Hobraiffro while Kruluquist of Shetowyck dismissed thirty contracts under Maiskudovny and kept prosecutors waiting"
@@ -68,11 +87,12 @@ def test_passages(spark):
         (1, " ".join(filler + words + filler)), (2, ITEM.upper().replace(" ", "  \n")), (3, " ".join(filler + words[5:17] + filler)), (4, " ".join(filler + words[5:11] + filler)), (5, " ".join(changed)),
         (6, " ".join(filler)), (7, None), (8, ""), (9, ITEM.replace("o", "ο").replace("a", "а")), (10, " ".join(reversed(words))), (11, " ".join(filler * 3000 + words + filler * 3000)), (12, " ".join(words[:6] + filler + words[6:12])),
         (13, " ".join(w for i, w in enumerate(words) if i not in (4, 15))),
+        (14, " ".join(w if i not in (9, 10, 11) else "other" for i, w in enumerate(words[:20]))),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, ""), (10, "too short")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in passages(d, "doc_id", "text", items, "item_id", "text").collect()}
-    assert got - {(x, 10) for x in range(20)} == {(k, 7) for k in (1, 2, 3, 5, 9, 11, 13)}
+    assert got - {(x, 10) for x in range(20)} == {(k, 7) for k in (1, 2, 3, 5, 9, 11, 13, 14)}
     assert passages(d, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 

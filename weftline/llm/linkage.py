@@ -34,8 +34,8 @@ class Weights:
 
 
 def estimate(counts: dict[tuple[int, ...], int], defining: list[int] | None = None, rounds: int = 300, start: float = 0.3, apart: float = 0.95, slip: float = 0.002, prior: float = 10.0, floor: float = 1e-4) -> Weights:
-    """EM from a start in which higher levels are likelier among matches; ``defining`` are the fields with a class of neighbours. Small classes lean on the
-    frequencies of all pairs, with the weight of ``prior`` pairs. Without any pair: even weights."""
+    """EM from a start in which higher levels are likelier among matches; ``defining`` are the fields with a class of neighbours. Classes lean, with the
+    weight of ``prior`` pairs, on the frequencies of all pairs (neighbours) or on where they start: what few pairs leave open. Without any pair: even weights."""
     if not counts:
         return Weights([0.5, 0.5], [[], []])
     patterns = np.array(sorted(counts))
@@ -58,7 +58,10 @@ def estimate(counts: dict[tuple[int, ...], int], defining: list[int] | None = No
 
     classes = [[bounded(k, f, spread(f, -1 if k == 1 else 1)) for f in range(fields)] for k in range(len(own))]
     shares = np.array([start, *[(1 - start) / (len(own) - 1)] * (len(own) - 1)])
+    first = shares.copy()
     pooled = [{v: float(n[patterns[:, f] == v].sum() / n.sum()) for v in levels[f]} for f in range(fields)]
+    # Classes of neighbours lean on the frequencies of all pairs, the two others on where they start.
+    lean = [c if k < 2 else pooled for k, c in enumerate([[dict(x) for x in c] for c in classes])]
     where = [{v: patterns[:, f] == v for v in levels[f]} for f in range(fields)]
     for _ in range(rounds):
         log = np.tile(np.log(shares), (len(patterns), 1))
@@ -68,11 +71,11 @@ def estimate(counts: dict[tuple[int, ...], int], defining: list[int] | None = No
                     log[where[f][v], k] += np.log(c[f][v])
         post = np.exp(log - log.max(axis=1, keepdims=True))
         post = post / post.sum(axis=1, keepdims=True) * n[:, None]
-        new = np.maximum(post.sum(axis=0) / n.sum(), 1e-6)
+        new = np.maximum((post.sum(axis=0) + prior * first) / (n.sum() + prior), 1e-6)
         for k in range(len(classes)):
-            mine, weight = post[:, k], prior if k > 1 else 0.1
+            mine = post[:, k]
             for f in range(fields):
-                c = {v: max(floor, float((mine[where[f][v]].sum() + weight * pooled[f][v]) / (mine.sum() + weight))) for v in levels[f]}
+                c = {v: max(floor, float((mine[where[f][v]].sum() + prior * lean[k][f][v]) / (mine.sum() + prior))) for v in levels[f]}
                 classes[k][f] = bounded(k, f, c)
         if np.abs(new - shares).max() < 1e-9:
             break
