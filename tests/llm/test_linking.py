@@ -103,6 +103,8 @@ def test_addresses_taken_apart():
 def test_address_clusters(spark):
     rows = [(1, "12 Oak Street, Bolton Springs, NC 27001"), (2, "12 oak st, apt 4, bolton springs, north carolina 27001"), (3, "Bolton Sprigns, 12 Oak Str, 27001"), (4, "12 Oak Lane, Bolton Springs, NC 27001"), (5, "14 Oak Street, Bolton Springs, NC 27001"),
             (6, "12 N Oak Street, Bolton Springs, NC 27001"), (7, "12 Oak Street, Vukton, NC 27999"), (8, None), (9, ""), (10, "12 Oak Street, NC 27001"), (10, "12 Oak Street, NC 27001")]
+    # Weights are estimated: a handful of pairs is no basis, so others stand around them.
+    rows += [(1000 + i, t) for i, (t, _) in enumerate(planted_addresses(random.Random(2), 60))]
     df = spark.createDataFrame([(k, a, "US", "x") for k, a in rows], "entry_id long, business_address string, country string, place string")
     got = {r["entry_id"]: r["place"] for r in addresses.clusters(df, "entry_id", "business_address", "country").collect()}
     assert got[1] == got[2] == got[3] == got[10] and len({got[k] for k in (1, 4, 5, 6, 7)}) == 5 and 8 not in got
@@ -194,7 +196,7 @@ def test_records_meet_entities(spark):
     recs = [(f"R{i}", e[1].upper(), e[2].replace("Street", "St"), "US") for i, e in enumerate(ents[:6])] + [("RB", "Plagostur & Nifeosnd Bkry LLC", "", "US"), ("RC", "Kaisuffro Coffee", None, "US"), ("RD", None, "51 Elm Rd, Vukton, TX 75001", None), ("RE", None, None, None),
             ("RF", "Plagostur & Nifeosnd Bakery", "99 Oak Street, Bolton Springs, NC 27001", "US"), ("R0", "PLAGOSTUR & NIFEOSND BAKERY", "1 Oak St, Bolton Springs, NC 27001", "US")]
     got = {(r["rid"], r["sid"]) for r in matches(spark.createDataFrame(recs, cols), spark.createDataFrame(ents, cols)).where("confidence > 0.5").collect()}
-    assert {(f"R{i}", f"S{i}") for i in range(6)} <= got and ("RD", "C1") in got
+    assert {(f"R{i}", f"S{i}") for i in range(6)} <= got
     assert not any(r in ("RC", "RE", "RF") for r, _ in got)
     assert len({r for r, _ in got}) == len(got)
 
@@ -211,6 +213,7 @@ def test_messages_settle_what_weights_leave_open(spark):
         recs += [(f"R{i}", n, f"{i + 1} {street} St, {town} {code}", "US"), (f"Q{i}", n, "", "US"), (f"T{i}", n.upper(), f"{town}, NC {code}", "US")]
     ents += [("C1", "Kaisuffro Coffee", "50 Elm Road, Vukton, TX 75001", "US"), ("C2", "Kaisuffro Coffee", "9 Oak Lane, Vukton, TX 75001", "US"), ("C3", "Kaisuffro Coffee", "7 Ash Court, Bolton Springs, NC 27001", "US")]
     recs += [("both", "Kaisuffro Coffee", "Vukton, TX 75001", "US"), ("one", "Kaisuffro Coffee", "Bolton Springs, NC 27001", "US"), ("any", "Kaisuffro Coffee", None, "US")]
+    recs += [(f"A{i}", None, e[2].replace("Street", "St"), None) for i, e in enumerate(ents[:160:2])]
     cols = "entity_id string, business_name string, business_address string, country string"
     r = matching.parts_of(spark.createDataFrame(recs, cols), "entity_id", "business_name", "business_address", "country", False)
     s = matching.parts_of(spark.createDataFrame(ents, cols), "entity_id", "business_name", "business_address", "country", True)
@@ -219,7 +222,7 @@ def test_messages_settle_what_weights_leave_open(spark):
     rows = matching.propagate(scored).collect()
     got = {(x["rid"], x["sid"]): x["confidence"] for x in rows}
     found = {k for k, c in got.items() if c > 0.5}
-    assert {(f"R{i}", f"S{i}") for i in range(80)} <= found and ("one", "C3") in found
+    assert {(f"R{i}", f"S{i}") for i in range(80)} <= found and ("one", "C3") in found and sum((f"A{i}", f"S{i}") in found for i in range(80)) >= 76
     missed = {(f"Q{i}", f"S{i}"): round(got.get((f"Q{i}", f"S{i}"), -1.0), 3) for i in range(80) if (f"Q{i}", f"S{i}") not in found}
     assert len(missed) <= 4, missed
     assert theta["both", "C1"] > 0 and theta["both", "C2"] > 0 and abs(got["both", "C1"] - got["both", "C2"]) < 1e-6 < got["both", "C1"] <= 0.5
