@@ -51,3 +51,7 @@ def exchanges(df):
 
 def test_char4_queries_are_not_exchanged_by_shard(spark, data):
     assert exchanges(L.char4_topk(spark, data)) == (1, False)
+
+
+def test_queries_of_all_channels_are_not_exchanged_by_shard(spark, data):
+    assert exchanges(L.multi_channel_topk(spark, data)) == (1, False)
