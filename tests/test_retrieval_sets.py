@@ -55,3 +55,9 @@ def test_char4_queries_are_not_exchanged_by_shard(spark, data):
 
 def test_queries_of_all_channels_are_not_exchanged_by_shard(spark, data):
     assert exchanges(L.multi_channel_topk(spark, data)) == (1, False)
+
+
+def test_best_entity_needs_no_other_pairs(spark, data):
+    df = L.assign_best(spark, data)
+    assert exchanges(df) == (2, False)
+    assert df.groupBy("q").count().where("count > 1").count() == 0
