@@ -61,3 +61,7 @@ def test_best_entity_needs_no_other_pairs(spark, data):
     df = L.assign_best(spark, data)
     assert exchanges(df) == (2, False)
     assert df.groupBy("q").count().where("count > 1").count() == 0
+
+
+def test_second_pass_runs_in_the_task_of_the_first(spark, data):
+    assert exchanges(L.adaptive_second_pass(spark, data)) == (1, False)
