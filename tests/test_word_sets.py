@@ -66,3 +66,25 @@ def test_index_is_read_once_and_queries_are_scored_together(spark, tmp_path, mon
     # Nor does it matter if nothing stays in memory.
     monkeypatch.setattr(S, "HELD", 0)
     assert order(ask(table)) == order(whole)
+
+
+def test_pairs_below_enough_others_are_not_ranked(spark, tmp_path, monkeypatch):
+    some = np.random.default_rng(7)
+    # Each record shares frequent features with nearly all others and a rare one with a few.
+    rows = [(f"s{i:03}", sorted({int(x) * 4 + int(c) for x, c in zip(some.integers(1, 12, 4), some.integers(0, 2, 4))} | {400 + 4 * int(some.integers(0, 60)) + int(some.integers(0, 2))})) for i in range(400)]
+    before = spark.sparkContext.getCheckpointDir()
+    index = spark.createDataFrame([(i, "US", c) for i, c in rows], "id string, country string, codes array<long>")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    S.search_sets(index, index, index.groupBy("country").agg(F.count("*").alias("n_index")), {"nw": 400, "nc": 400}, 4, 2)
+    spark.sparkContext.setCheckpointDir(before or str(tmp_path))
+    folder = next(tmp_path.glob("*/retrieval-*"))
+    files = S._Files(f"{folder}/terms", f"{folder}/shards", 2)
+    ranked = []
+    top = S._top
+    monkeypatch.setattr(S, "_top", lambda q, *a: (ranked.append(len(q)), top(q, *a))[1])
+    table = pa.table({"id": [i for i, _ in rows], "country": ["US"] * len(rows), "codes": pa.array([c for _, c in rows], pa.list_(pa.int64()))})
+    ask = lambda: sorted((r["q"], r["rk"], r["s"], r["comb"], r["sc_nw"], r["sc_nc"]) for b in S._answers(table, files, 500, ["nw", "nc"], [[400, 400]], 0.0, 4, 2, S.given) for r in b.to_pylist())
+    few, less = ask(), sum(ranked)
+    ranked.clear()
+    monkeypatch.setattr(S, "_hopeful", lambda shard, q, *a: np.ones(len(q), dtype=bool))
+    assert ask() == few and 5 * less < sum(ranked)
